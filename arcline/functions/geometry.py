@@ -51,40 +51,42 @@ def triangulated(
     once after clipping. Near-parallel rays fall back to the ground midpoint with
     ``parallel_dist`` (None drops the position). Built in stages so each product is computed once.
     """
-    names = df.columns
+    keep = [c for c in df.columns if c not in out]
     c1, c2 = [float(v) for v in cam_a], [float(v) for v in cam_b]
-    w = [p - q for p, q in zip(c1, c2)]
-    ax, ay, bx, by = (F.col(f"{side}_{axis}") for side in (a, b) for axis in "xy")
+    w = [m - n for m, n in zip(c1, c2)]
+    ax, ay, bx, by = (F.col(f"{n}_{axis}") for n in (a, b) for axis in "xy")
     t = df.withColumns({"_p0": ax - c1[0], "_p1": ay - c1[1], "_q0": bx - c2[0], "_q1": by - c2[1]})
-    p = [F.col("_p0"), F.col("_p1"), F.lit(-c1[2])]
-    q = [F.col("_q0"), F.col("_q1"), F.lit(-c2[2])]
-    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-    t = t.withColumns({"_pp": dot(p, p), "_pq": dot(p, q), "_qq": dot(q, q),
-                       "_pw": dot(p, [F.lit(v) for v in w]), "_qw": dot(q, [F.lit(v) for v in w])})
+    p, q = [F.col("_p0"), F.col("_p1"), F.lit(-c1[2])], [F.col("_q0"), F.col("_q1"), F.lit(-c2[2])]
+    t = t.withColumns({
+        "_pp": _dot(p, p), "_pq": _dot(p, q), "_qq": _dot(q, q),
+        "_pw": p[0] * w[0] + p[1] * w[1] - c1[2] * w[2], "_qw": q[0] * w[0] + q[1] * w[1] - c2[2] * w[2]})
     pp, pq, qq, pw, qw = (F.col(n) for n in ("_pp", "_pq", "_qq", "_pw", "_qw"))
     t = t.withColumn("_det", pp * qq - pq * pq)
-    low = _clip01 if bounded else lambda c: F.greatest(c, F.lit(0.0))
-    t = t.withColumns({"_s": low(F.try_divide(pq * qw - qq * pw, F.col("_det"))),
-                       "_t": low(F.try_divide(pp * qw - pq * pw, F.col("_det")))})
-    on_p = lambda s: [F.lit(c1[i]) + F.col(s) * p[i] for i in range(3)]
-    on_q = lambda s: [F.lit(c2[i]) + F.col(s) * q[i] for i in range(3)]
+    clip = _clip01 if bounded else lambda c: F.greatest(c, F.lit(0.0))
+    s_free, t_free = clip(F.try_divide(pq * qw - qq * pw, F.col("_det"))), clip(F.try_divide(pp * qw - pq * pw, F.col("_det")))
     if bounded and resolve:
-        t = t.withColumn("_t", _clip01(dot([v - c2[i] for i, v in enumerate(on_p("_s"))], q) / qq))
-        t = t.withColumn("_s", _clip01(dot([v - c1[i] for i, v in enumerate(on_q("_t"))], p) / pp))
-    t = t.withColumns({f"_m{i}": v for i, v in enumerate(on_p("_s"))} | {f"_n{i}": v for i, v in enumerate(on_q("_t"))})
-    m, n = [F.col(f"_m{i}") for i in range(3)], [F.col(f"_n{i}") for i in range(3)]
+        t = t.withColumn("_s", s_free)
+        t = t.withColumn("_t", _clip01((qw + F.col("_s") * pq) / qq))
+        t = t.withColumn("_s", _clip01((F.col("_t") * pq - pw) / pp))
+    else:
+        t = t.withColumns({"_s": s_free, "_t": t_free})
+    sp, tq = [F.col("_s") * v for v in p], [F.col("_t") * v for v in q]
     flat = F.abs("_det") < 1e-10
     ground = [(ax + bx) / 2, (ay + by) / 2, F.lit(0.0)]
     if parallel_dist is None:
         ground = [F.lit(None).cast("double")] * 3
-    gap = F.sqrt(sum(((m[i] - n[i]) * (m[i] - n[i]) for i in (1, 2)), (m[0] - n[0]) * (m[0] - n[0])))
-    vals = [F.when(flat, ground[0]).otherwise((m[0] + n[0]) / 2), F.when(flat, ground[1]).otherwise((m[1] + n[1]) / 2),
-            F.when(flat, ground[2]).otherwise(F.greatest((m[2] + n[2]) / 2, F.lit(0.0))),
-            F.when(flat, F.lit(parallel_dist).cast("double")).otherwise(gap)]
-    keep = [c for c in names if c not in out]
+    mid = [(c1[i] + c2[i] + sp[i] + tq[i]) / 2 for i in range(3)]
+    mid[2] = F.greatest(mid[2], F.lit(0.0))
+    gap = hypot(*[w[i] + sp[i] - tq[i] for i in range(3)])
+    vals = [F.when(flat, g).otherwise(m) for g, m in zip(ground, mid)]
+    vals.append(F.when(flat, F.lit(parallel_dist).cast("double")).otherwise(gap))
     return t.select(*keep, *[v.alias(o) for v, o in zip(vals, out)])
 
 
+def _dot(u, v) -> Column:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
 def ground_projection(df: DataFrame, cam: tuple, out: tuple[str, str] = ("world_x", "world_y")) -> DataFrame:
     """Where the line from the camera through the ball meets the ground (inverse of the above)."""
     k = F.lit(cam[2]) / (F.lit(cam[2]) - F.col("z"))
@@ -106,4 +108,4 @@ def side(y: Column) -> Column:
 
 
 def hypot(*parts: Column) -> Column:
-    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    return F.sqrt(sum((F.pow(p, F.lit(2.0)) for p in parts[1:]), F.pow(parts[0], F.lit(2.0))))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion"]
+MODULES = ["geometry", "motion", "joins"]
 
 
 def load_all() -> None:
