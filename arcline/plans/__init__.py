@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion", "joins"]
+MODULES = ["geometry", "motion", "joins", "evaluation"]
 
 
 def load_all() -> None:
