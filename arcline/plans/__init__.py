@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion", "joins", "evaluation"]
+MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing"]
 
 
 def load_all() -> None:
