@@ -78,13 +78,13 @@ def fold(
     out = done.where(F.col("_end").isNull()).select(*keys, *names)
     if flush is None:
         return out
-    last = done.where(F.col("_end").isNotNull()).groupBy(*keys).agg(F.max_by("_end", BLK).alias("_end"))
+    last = done.where(F.col("_end").isNotNull()).groupBy(*keys).agg(F.max_by("_end", BLK).alias("end_state"))
     tail_schema = T.StructType([*[f for f in key_fields if f.name != BLK], *out_fields])
 
     def closing(it):
         for pdf in it:
             recs = [(*[getattr(row, k) for k in keys], *t)
-                    for row in pdf.itertuples(index=False) for t in flush(json.loads(row._asdict()["_end"] if "_end" in row._fields else row[-1]))]
+                    for row in pdf.itertuples(index=False) for t in flush(json.loads(row.end_state))]
             yield _typed(pd.DataFrame(recs, columns=tail_schema.names, dtype=object), tail_schema)
 
     return out.unionByName(last.mapInPandas(closing, tail_schema))

@@ -157,7 +157,7 @@ def keep_last_better(cand: DataFrame, min_gap: int, score: Column, schema: str,
         return [(kept[0], *kept[2:])] if kept else []
 
     def step(state, row):
-        cur = [row.frame, row._score if hasattr(row, "_score") else row[-1], *[getattr(row, c) for c in cols]]
+        cur = [row.frame, row.rank_score, *[getattr(row, c) for c in cols]]
         cur = [v.item() if hasattr(v, "item") else v for v in cur]
         last = state["last"]
         if last and cur[0] - last[0] < min_gap:
@@ -167,8 +167,7 @@ def keep_last_better(cand: DataFrame, min_gap: int, score: Column, schema: str,
         state["last"] = cur
         return emit(last)
 
-    rows = cand.select(*keys, "frame", *cols, score.alias("score_"))
-    rows = rows.withColumnRenamed("score_", "_score")
+    rows = cand.select(*keys, "frame", *cols, score.alias("rank_score"))
     return fold(rows, keys, "frame", {"last": None}, step, f"frame long, {schema}", flush=lambda s: emit(s["last"]))
 
 
