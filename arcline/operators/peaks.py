@@ -136,3 +136,29 @@ def first_wins(cand: DataFrame, keys: Sequence[str], gap: int, order: str = "fra
 
     kept = fold(cand.select(*keys, F.col(order).cast("long").alias("f")).distinct(), keys, "f", {"f": None}, step, "kept long")
     return cand.join(kept.withColumnRenamed("kept", order), [*keys, order], "left_semi")
+
+
+def peak_positions(values: list[float], distance: int, prominence: float) -> list[int]:
+    """Peaks of a short list (one detector's buffer): same rules as ``find_peaks``."""
+    runs, i = [], 0
+    while i < len(values):
+        j = i
+        while j + 1 < len(values) and values[j + 1] == values[i]:
+            j += 1
+        runs.append((values[i], i, j))
+        i = j + 1
+    tops = [(v, (a + b) // 2) for (p, _, _), (v, a, b), (n, _, _) in zip(runs, runs[1:], runs[2:]) if p < v > n]
+    kept: list[int] = []
+    for v, k in sorted(tops, reverse=True):
+        if all(abs(k - q) >= distance for q in kept):
+            kept.append(k)
+
+    def drop(side: list[float], v: float) -> float:
+        low = v
+        for u in side:
+            if u > v:
+                break
+            low = min(low, u)
+        return v - low
+
+    return sorted(k for k in kept if min(drop(values[:k][::-1], values[k]), drop(values[k + 1:], values[k])) >= prominence)

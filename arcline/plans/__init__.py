@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection"]
+MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection", "reports"]
 
 
 def load_all() -> None:
