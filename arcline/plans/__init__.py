@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection", "reports"]
+MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection", "reports", "arcs"]
 
 
 def load_all() -> None:
