@@ -212,3 +212,20 @@ def resample(rows: DataFrame, ratio: int, is_event: Column) -> DataFrame:
     pick = F.min_by(F.struct(*cols), F.struct(F.when(is_event, 0).otherwise(1), F.col("frame")))
     return rows.groupBy("session_id", F.floor(F.col("frame") / ratio).alias("bucket")).agg(pick.alias("r")).select(
         "session_id", "bucket", "r.*")
+
+
+def flight_mask(frames: DataFrame, good: DataFrame, coast: int = 5) -> DataFrame:
+    """Frames in flight: good ones, frames seen within ``coast`` after one, and short gaps between good ones.
+
+    ``frames``: all frames any camera saw; ``good``: frames whose 3-D point is plausible.
+    """
+    t = frames.join(good.select("session_id", "frame", F.lit(True).alias("_ok")), ["session_id", "frame"], "left")
+
+    def build(t: DataFrame, w: WindowSpec) -> DataFrame:
+        return t.withColumn("_pg", F.max(F.when(F.col("_ok"), F.col("frame"))).over(w.rangeBetween(-coast, -1)))
+
+    t = windowed(t, KEYS, "frame", build, coast, 0)
+    ok = F.coalesce("_ok", F.lit(False))
+    start = F.when(ok & F.col("_pg").isNotNull(), F.col("_pg") + 1).otherwise(F.col("frame"))
+    t = t.where(ok | F.col("_pg").isNotNull())
+    return t.select("session_id", F.explode(F.sequence(start, F.col("frame"))).alias("frame")).distinct()

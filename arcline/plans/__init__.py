@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection", "reports", "arcs"]
+MODULES = ["geometry", "motion", "joins", "evaluation", "smoothing", "detection", "reports", "arcs", "tables", "live"]
 
 
 def load_all() -> None:
