@@ -82,7 +82,7 @@ def peak_bounces(points: DataFrame, z_max: float = 0.5, prominence: float = 0.10
     from ..court import COURT, in_court
     from .peaks import find_peaks
 
-    s = smoothed_height(points).drop("idx").withColumn("_neg", -F.col("zs"))
+    s = smoothed_height(points).withColumn("_neg", -F.col("zs"))
     p = find_peaks(s, KEYS, "_neg", min_rows, prominence)
     low = F.lit(True) if z_min is None else F.col("zs") > z_min
     return p.where(low & (F.col("zs") <= z_max)).select(

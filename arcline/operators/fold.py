@@ -1,9 +1,10 @@
 """Order-dependent logic over long keys, run in parallel chunks with exact results.
 
-Each key is cut into blocks of the order column. All blocks run at once from the initial state;
-then every block whose predecessor ended in another state than the one it started from is run
-again from that state, until nothing changes. A fold that forgets (timeouts, cooldowns, resets)
-settles after one extra round, and no task ever holds more than one block.
+Each key is cut into blocks of the order column. All blocks run at once, each warmed up on the
+last rows of the block before it; then every block whose predecessor ended in another state than
+the one it started from is run again from that state, until nothing changes. A fold that forgets
+(timeouts, cooldowns, resets) is right at once, and no task ever holds more than one block and
+its warm-up.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from . import ordered
 from .ordered import BLK, block_of
 
 Step = Callable[[dict, tuple], Iterable[tuple]]
@@ -37,7 +39,9 @@ def fold(
     """
     keys = list(keys)
     part = [*keys, BLK]
+    block = block or ordered.BLOCK
     rows = df.withColumn(BLK, block_of(order, block))
+    warmed = ordered.spread(df, order, max(block // 4, 1), 0, block)
     out_fields = T.StructType.fromDDL(schema).fields
     names = [f.name for f in out_fields]
     key_fields = [f for f in rows.schema.fields if f.name in part]
@@ -45,9 +49,8 @@ def fold(
     full = T.StructType([*key_fields, T.StructField("_in", T.StringType()), T.StructField("_end", T.StringType()), *out_fields])
     start = json.dumps(init, sort_keys=True)
 
-    def run(pdf: pd.DataFrame, text: str) -> pd.DataFrame:
-        state = json.loads(text)
-        pdf = pdf.sort_values(order)
+    def run(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
+        text = json.dumps(state, sort_keys=True)
         out = [t for row in pdf.itertuples(index=False) for t in step(state, row)]
         res = pd.DataFrame(out, columns=names, dtype=object)
         res["_in"], res["_end"] = None, None
@@ -58,17 +61,24 @@ def fold(
         return _typed(res, full)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, start)
+        pdf = pdf.sort_values(order)
+        own = pdf[ordered.OWN].astype(bool)
+        state = json.loads(start)
+        if not own.any():  # only copies from the block before
+            return _typed(pd.DataFrame(columns=full.names, dtype=object), full)
+        for row in pdf[~own].itertuples(index=False):
+            step(state, row)
+        return run(pdf[own], state)
 
     def again(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, state["_prev"].iloc[0])
+        return run(pdf.sort_values(order), json.loads(state["_prev"].iloc[0]))
 
-    done = cut_lineage(rows.groupBy(*part).applyInPandas(first, full))
+    done = cut_lineage(warmed.groupBy(*part).applyInPandas(first, full))
     frozen = None
     chain = Window.partitionBy(*keys).orderBy(BLK)
     while True:
         ends = done.where(F.col("_end").isNotNull()).select(*part, "_in", F.lag("_end").over(chain).alias("_prev"))
-        stale = ends.where(F.col("_prev") != F.col("_in")).select(*part, "_prev")
+        stale = ends.where(F.coalesce("_prev", F.lit(start)) != F.col("_in")).select(*part, F.coalesce("_prev", F.lit(start)).alias("_prev"))
         if stale.isEmpty():
             break
         frozen = frozen if frozen is not None else cut_lineage(rows)

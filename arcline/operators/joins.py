@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hypot, triangulated
+from . import ordered
 from .fold import fold
 from .ordered import neighbour
 
@@ -59,11 +60,14 @@ def asof(
     left: DataFrame, right: DataFrame, keys: Sequence[str], on: str,
     backward: dict[str, Column] | None = None, forward: dict[str, Column] | None = None,
     inclusive: bool = True,
+    unit: int = 1,
 ) -> DataFrame:
     """Nearest right row at or before (``backward``) and / or at or after (``forward``).
 
-    ``{output name: expression over the right side}``. ``on`` must be integral on both sides.
+    ``{output name: expression over the right side}``. ``on`` must be integral on both sides, in
+    ``unit`` steps per frame, so that blocks keep their number of rows.
     """
+    block = 2 * unit * ordered.BLOCK
     backward, forward = backward or {}, forward or {}
     exprs = backward | forward
     r = right.select(*keys, on, F.struct(*[c.alias(n) for n, c in exprs.items()]).alias("_v"), F.lit(0).alias("_side"))
@@ -74,10 +78,10 @@ def asof(
     out = u
     if backward:
         tie = F.when(is_right, 0).otherwise(1) if inclusive else F.when(is_right, 1).otherwise(0)
-        out = neighbour(out.withColumn("_o", 2 * o + tie), keys, "_o", prev={"_b": (is_right, F.col("_v"))})
+        out = neighbour(out.withColumn("_o", 2 * o + tie), keys, "_o", prev={"_b": (is_right, F.col("_v"))}, block=block)
     if forward:
         tie = F.when(is_right, 1).otherwise(0) if inclusive else F.when(is_right, 0).otherwise(1)
-        out = neighbour(out.withColumn("_o", 2 * o + tie), keys, "_o", next={"_f": (is_right, F.col("_v"))})
+        out = neighbour(out.withColumn("_o", 2 * o + tie), keys, "_o", next={"_f": (is_right, F.col("_v"))}, block=block)
     cols = [F.col("_b")[n].alias(n) for n in backward] + [F.col("_f")[n].alias(n) for n in forward]
     return out.where("_side = 1").select(*left.columns, *cols)
 
@@ -91,7 +95,7 @@ def interpolate_at(left: DataFrame, right: DataFrame, keys: Sequence[str], at: s
     names = ["frame", *pos]
     r = right.select(*keys, *names).withColumn("_q", (F.col("frame") * scale).cast("long"))
     l = left.withColumn("_q", F.round(F.col(at) * scale).cast("long"))
-    j = asof(l, r, keys, "_q", {f"_p_{c}": F.col(c) for c in names}, {f"_n_{c}": F.col(c) for c in names})
+    j = asof(l, r, keys, "_q", {f"_p_{c}": F.col(c) for c in names}, {f"_n_{c}": F.col(c) for c in names}, unit=scale)
     f0, f1 = F.col("_p_frame"), F.col("_n_frame")
     w = F.when(f1 == f0, 0.0).otherwise((F.col(at) - f0) / (f1 - f0))
     j = j.where(f0.isNotNull() & f1.isNotNull())
@@ -101,14 +105,15 @@ def interpolate_at(left: DataFrame, right: DataFrame, keys: Sequence[str], at: s
 
 def match_one_to_one(
     driver: DataFrame, partner: DataFrame, keys: Sequence[str], on: str, tolerance: int,
-    policy: str = "nearest_unused", strict: bool = False,
+    policy: str = "nearest_unused", strict: bool = False, unit: int = 1,
 ) -> DataFrame:
     """Greedy matching in driver order; each partner row is used once.
 
     Policies: ``nearest_unused`` picks the nearest free partner, ``nearest_then_check`` rejects
     when the nearest is taken, ``first_within`` takes the earliest free one. Both sides pass once
     through a fold whose state is the rows within the tolerance. ``on`` values are unique per side.
-    Returns driver time and the partner's (null when unmatched).
+    ``unit`` is the number of ``on`` steps per frame. Returns driver time and the partner's (null
+    when unmatched).
     """
     limit = tolerance - 1 if strict else tolerance
 
@@ -141,7 +146,7 @@ def match_one_to_one(
     d = driver.select(*keys, F.col(on).cast("long").alias("at"), F.lit(1).alias("side"))
     p = partner.select(*keys, F.col(on).cast("long").alias("at"), F.lit(0).alias("side"))
     return fold(d.unionByName(p), keys, "at", {"wait": [], "pool": []}, step, "driver_at long, partner_at long",
-                flush=lambda s: settle(s, None))
+                flush=lambda s: settle(s, None), block=unit * ordered.BLOCK)
 
 
 # ---- joins of two cameras -------------------------------------------------------------------

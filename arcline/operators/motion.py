@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..court import COURT, FPS
 from ..functions.geometry import hypot
+from ..session import cut_lineage
 from .fold import fold
 from .ordered import BLK, gap_break, local_segments, neighbour, running, segments, upper_median, windowed
 from .predicates import clean_conditions
@@ -35,7 +36,8 @@ def segment_rallies(
         return (dt > max_gap_s) | ((dt > 0.2) & (step_dist(w) / dt > jump_speed))
 
     reach = math.ceil(max_gap_s * fps) + 1
-    seg = segments(points, KEYS, "frame", reach, "rally", jump)
+    # segments are read twice (quality per rally, then the rows), so they are kept
+    seg = cut_lineage(segments(points, KEYS, "frame", reach, "rally", jump))
     p = F.struct("t", "x", "y", "z")
     a, b = F.col("p0"), F.col("p1")
     strong = (

@@ -49,7 +49,7 @@ def find_peaks(df: DataFrame, keys: Sequence[str], value: str, distance: int = 1
     """Rows that are local maxima of ``value`` (plateau middles included), thinned so that higher
     peaks clear lower ones nearer than ``distance`` rows, with at least ``prominence``.
 
-    Adds ``idx``, the row's position along its key.
+    Uses the dense row position ``idx`` when present, else adds it.
     """
     keys = list(keys)
     v = F.col(value)
@@ -59,12 +59,14 @@ def find_peaks(df: DataFrame, keys: Sequence[str], value: str, distance: int = 1
             "_up": v > F.lag(value).over(w), "_down": v > F.lead(value).over(w),
             "_new": F.coalesce(v != F.lag(value).over(w), F.lit(True)), "_last": F.lead("idx").over(w).isNull()})
 
-    rows = windowed(row_index(df, keys, order), keys, "idx", shape, 1, 1)
+    base = df if "idx" in df.columns else row_index(df, keys, order)
+    # several branches below read the rows; each prefix scan would otherwise recompute its input
+    rows = cut_lineage(windowed(base, keys, "idx", shape, 1, 1))
     runs = running(rows, keys, "idx", maxes={"_run": F.when(F.col("_new"), F.struct("idx", "_up"))})
     top = runs.where(F.col("_down") & F.col("_run._up"))
     mid = F.floor((F.col("_run.idx") + F.col("idx")) / 2).cast("long")
     flat = top.where(F.col("_run.idx") < F.col("idx")).select(*keys, mid.alias("idx"))
-    cols = [*df.columns, "idx"]
+    cols = [*[c for c in df.columns if c != "idx"], "idx"]
     peaks = top.where(F.col("_run.idx") == F.col("idx")).select(*cols).unionByName(rows.join(flat, [*keys, "idx"], "left_semi").select(*cols))
     if distance > 1:
         peaks = suppress_by_score(peaks, keys, "idx", distance, value)

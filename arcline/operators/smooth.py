@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hypot
+from . import ordered
 from .fold import fold
 from .ordered import BLK, local_segments, neighbour, running, windowed
 from .stats import quantiles
@@ -346,7 +347,7 @@ def drop_static(cands: DataFrame, cell: float = 40.0, decay: float = 0.98, limit
         return [(f, int(row.rank), n, n < limit)]
 
     return fold(t.select(*part, "frame", "rank", "at"), part, "at", {"n": 0.0, "f": None}, step,
-                "frame long, rank long, heat double, kept boolean")
+                "frame long, rank long, heat double, kept boolean", block=16 * ordered.BLOCK)
 
 
 def confident(df: DataFrame, q: float = 0.2, keys: Sequence[str] = CAM, conf: str = "blob_sum") -> DataFrame:

@@ -50,7 +50,7 @@ _DET = "SELECT session_id, frame AS tt FROM {}"
 def _(spark, sf):
     a = table(spark, sf, "det66").withColumn("ms", F.col("frame") * 40)
     b = table(spark, sf, "det68").withColumn("ms", F.col("frame") * 40 + 13)
-    return J.match_one_to_one(a, b, KEYS, "ms", 2000, strict=True)
+    return J.match_one_to_one(a, b, KEYS, "ms", 2000, strict=True, unit=40)
 
 
 def _match(name, driver, partner, tol, policy):

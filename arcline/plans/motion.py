@@ -8,6 +8,7 @@ from ..operators import bounce as B
 from ..operators import motion as M
 from ..operators.ordered import segments
 from ..operators.predicates import judge_landings, plausible_points
+from ..session import cut_lineage
 from .fixtures import table
 from .registry import query, r
 
@@ -89,7 +90,7 @@ def _(spark, sf):
 
 @query("w8_w9_w10_t2_report_bounces", f"WITH RECURSIVE {RALLIES}, {SHOTS}, {BOUNCES} SELECT session_id, rally, frame, ROUND(z, 6) AS z FROM bo")
 def _(spark, sf):
-    rows = rallies(spark, sf)
+    rows = cut_lineage(rallies(spark, sf))
     return B.report_bounces(rows, M.count_shots(rows)).select("session_id", "rally", "frame", r("z").alias("z"))
 
 
@@ -103,7 +104,7 @@ SELECT base.session_id, base.rally, n AS points, ROUND(dur, 6) AS duration_s, CO
   COALESCE(bounces, 0) AS bounces, COALESCE(bounces_in, 0) AS bounces_in
 FROM base LEFT JOIN av USING (session_id, rally) LEFT JOIN sh USING (session_id, rally) LEFT JOIN jd USING (session_id, rally)""")
 def rally_summary(spark, sf, name="points"):
-    rows = rallies(spark, sf, name)
+    rows = cut_lineage(rallies(spark, sf, name))  # read by four branches below
     key = ["session_id", "rally"]
     base = rows.groupBy(*key).agg(F.count("*").alias("points"), (F.max("t") - F.min("t")).alias("duration_s"))
     speed = M.frame_speeds(rows).groupBy(*key).agg(F.avg("speed_kmh").alias("speed_avg"), F.max("speed_kmh").alias("speed_max"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -60,12 +61,15 @@ def differ(df, con, sql) -> str | None:
 
 
 def main(argv):
+    from arcline.operators import ordered
     from arcline.session import local_session
     import __spark_entry__ as e
 
     sf = argv[0] if argv else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session("check")
+    if os.environ.get("BLOCK"):
+        ordered.BLOCK = int(os.environ["BLOCK"])
     con = connect(sf_dir)
     queries, oracles = e.queries(), e.oracle_sql()
     names = [n for n in queries if not argv[1:] or any(n.startswith(a) for a in argv[1:])]
