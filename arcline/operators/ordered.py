@@ -113,9 +113,12 @@ def neighbour(
     base = df.withColumn(BLK, block_of(order, block))
     part = [*keys, BLK]
     w = Window.partitionBy(*part).orderBy(order)
-    wp, wn = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    b = Window.partitionBy(*keys).orderBy(BLK)
-    bp, bn = b.rowsBetween(Window.unboundedPreceding, -1), b.rowsBetween(1, Window.unboundedFollowing)
+    # "following" runs as "preceding" in descending order: that frame only ever grows
+    before = (Window.unboundedPreceding, -1)
+    wp = w.rowsBetween(*before)
+    wn = Window.partitionBy(*part).orderBy(F.desc(order)).rowsBetween(*before)
+    bp = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(*before)
+    bn = Window.partitionBy(*keys).orderBy(F.desc(BLK)).rowsBetween(*before)
 
     def tagged(cond: Column | None, value: Column) -> Column:
         s = F.struct(F.col(order).alias("o"), value.alias("v"))
