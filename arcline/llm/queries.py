@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .langid import op7_language_id
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLES: dict[str, str] = {}
