@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontam import OP5_SQL, op5_decontamination
 from .langid import op7_language_id
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
+}
