@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontamination
 from .langid import op7_language_id
+from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
+    "op9_mixing": OP9_SQL,
 }
