@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontamination
+from .kdshard import op2_sharding
 from .langid import op7_language_id
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_sharding": op2_sharding,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op9_mixing": op9_mixing,
