@@ -42,7 +42,7 @@ def shingle_hashes(w: Column, k: int) -> Column:
     return _each(w, k, lambda s: F.xxhash64(s))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -75,13 +75,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.8, shingle_
     sketch = settled(sketches(items, least))
     # words are a column of their own: inside the expressions over each position they would be made again and again
     seen = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", F.explode(shingle_hashes(F.col("words"), shingle_words)).alias("shingle_hash"))
-    pairs = settled(seen.join(_small(sketch.select("shingle_hash", "item_id")), "shingle_hash").select("doc_id", "item_id").distinct())
+    pairs = settled(seen.join(broadcast_if_small(sketch.select("shingle_hash", "item_id")), "shingle_hash").select("doc_id", "item_id").distinct())
     # exact: all shingles of the candidates, as text
     asked = pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
-    mine = docs.join(_small(asked.select("d").distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    mine = docs.join(broadcast_if_small(asked.select("d").distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     mine = mine.select("doc_id", words(F.col("text")).alias("words"))
     mine = mine.select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("words"), shingle_words))).alias("shingle"))
-    hits = mine.join(_small(items.select("item_id", "shingle")), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    hits = mine.join(broadcast_if_small(items.select("item_id", "shingle")), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     hits = hits.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
     size = sketch.select(F.col("item_id").alias("i"), "size").distinct()
     out = hits.join(size, F.col("item_id").eqNullSafe(F.col("i"))).withColumn("containment", F.col("shared") / F.col("size"))

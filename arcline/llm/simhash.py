@@ -127,6 +127,15 @@ def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return stars.distinct()
 
 
+def groups_of(rows: DataFrame, radius: int = 4, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(fp, root, component_id) of each distinct ``fp`` in ``rows`` (id, fp); root is the smallest fp of its component."""
+    prints = settled(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(links(prints.select("fp"), radius, segments, bucket))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4,
                 segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(id, fp, component_id) of each row; component_id is the smallest id that links lead to.
@@ -136,14 +145,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not looked at, and an empty table gives an empty result.
     """
     rows = settled(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words_per_shingle).alias("fp")))
-    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    prints = settled(first)
-    roots = components(links(prints.select("fp"), radius, segments, bucket))
-    # components are named by a fingerprint; their id is the smallest of all members
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = named.join(least, "root").select("fp", "component_id")
-    return rows.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(groups_of(rows, radius, segments, bucket), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, null ids last.
+
+    Columns are those of ``docs``. Texts are written once with their fingerprints and moved once.
+    """
+    marked = settled(docs.withColumn("_fp", fingerprint(F.col(text_col), words_per_shingle)))
+    rows = marked.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"))
+    each = rows.groupBy("id", "fp").agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "rows")).alias("k")
+    keep = settled(each.join(groups_of(rows, radius), "fp").groupBy("root").agg(best).select("k.*"))
+
+    def held(keys: DataFrame) -> DataFrame:
+        return marked.join(keys.hint("shuffle_hash"), marked[id_col].eqNullSafe(keys["id"]) & (marked["_fp"] == keys["fp"]), "left_semi")
+
+    out = held(keep)
+    if not keep.filter("rows > 1").isEmpty():  # repeated rows: one of them stays
+        out = held(keep.filter("rows = 1")).unionByName(held(keep.filter("rows > 1")).dropDuplicates([id_col, "_fp"]))
+    return out.select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:
