@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat
 from .decontam import OP5_SQL, op5_decontamination
 from .kdshard import op2_sharding
 from .langid import op7_language_id
@@ -12,11 +13,13 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op5_decontamination": op5_decontamination,
+    "op6_chat": op6_chat,
     "op7_language_id": op7_language_id,
     "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
+    "op6_chat": OP6_SQL,
     "op9_mixing": OP9_SQL,
 }
