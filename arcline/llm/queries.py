@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_nearest
 from .chat import OP6_SQL, op6_chat
 from .decontam import OP5_SQL, op5_decontamination
 from .kdshard import op2_sharding
@@ -12,6 +13,7 @@ from .simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
+    "op4_nearest": op4_nearest,
     "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
     "op7_language_id": op7_language_id,
