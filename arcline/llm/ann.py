@@ -108,7 +108,7 @@ def _in_blocks(index: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(lambda key, a, b: _nearest(key, a, b, k), "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 16, functions: int | None = None,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, probes: int = 32, functions: int = 1,
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k found with the largest inner product for each query row.
 
@@ -116,8 +116,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, take no
     part. Vectors are compared with those of their dimension. Repeated rows count once; if an id has several
     vectors, its best one counts. A query without candidates gets no row; empty tables give none.
-    ``functions`` rotations make a bucket; left out, one up to 2^19 rows and two beyond, where a bucket of one
-    would be long. With 8 tables of 16 probes of 256 a recall of 0.97 was measured on 51,282 random directions.
+    ``functions`` rotations together make a bucket. One gives 256 buckets for 64 dimensions, which random
+    directions need (their nearest are hardly nearer than the rest): with 8 tables of 32 probes a recall of 0.97
+    was measured on 500 such rows and 0.99 on 51,282. Clustered vectors can do with two and shorter buckets.
     """
 
     def clean(df: DataFrame, name: str) -> DataFrame:
@@ -128,8 +129,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
 
     rows, asks = clean(vectors, "vec_id"), clean(queries, "query_id")
     top = settled(rows.groupBy("dim").agg(F.max("norm").alias("top"), F.count("*").alias("n")))
-    if functions is None:
-        functions = 1 if (top.agg(F.max("n")).first()[0] or 0) <= 1 << 19 else 2
     band = F.least(F.floor(F.log2(F.col("top") / F.col("norm"))), F.lit(BANDS)).cast("int")
     rows = rows.join(top, "dim").withColumn("band", F.greatest(band, F.lit(0)))
     bands = settled(rows.select("dim", "band", "top").distinct())
