@@ -13,6 +13,14 @@ from arcline.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a lookup table up to which it is broadcast (16 to 150 bytes each); beyond, it is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: short lineage, and nothing is computed twice.
 

@@ -14,10 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import settled
+from .common import broadcast_if_small, settled
 
-#: Rows of a lookup table up to which it is broadcast (16 to 150 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 100_000
 #: Between words: all but letters and digits. Fixed in the SQL twin as well.
 BREAKS = r"[^\p{L}\p{N}]+"
 
@@ -42,10 +40,6 @@ def shingle_hashes(w: Column, k: int) -> Column:
     return _each(w, k, lambda s: F.xxhash64(s))
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def sketches(items: DataFrame, least: float) -> DataFrame:
     """(item_id, size, hash): the sketch of each item; ``items`` has each distinct shingle once (item_id, shingle)."""
     each = items.select("item_id", "shingle_hash")

@@ -26,7 +26,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 ROUNDS = 12
 #: Documents that one sorted piece of a source holds on average, and slots that one row unrolls.
-PIECE, UNROLL = 20_000, 4096
+PIECE, UNROLL = 2000, 4096
+#: Slots that one task makes.
+TASK = 1 << 16
 
 
 @dataclass
@@ -113,7 +115,8 @@ def mix(docs: DataFrame, block_words: int = 64, shards: int = 16, id_col: str =
     blocks = blocks.select("src", "block", "first", (start - F.col("first")).alias("at"), (F.least(last, b + block_words) - start).alias("words"))
     # slots: number k of a source goes through its blocks again and again, each time in another order
     some = goal.filter("slots > 0").select("src", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / UNROLL))).alias("part"))
-    some = some.repartition("src", "part")
+    slot_count = goal.agg(F.sum("slots")).first()[0] or 0
+    some = some.repartition(max(1, -(-slot_count // TASK)), "src", "part")  # a number, as by size these few rows would stay in one task
     k0 = F.col("part") * UNROLL
     slots = some.select("src", "blocks", F.explode(F.sequence(k0, F.least(k0 + UNROLL, F.col("slots")) - 1)).alias("k"))
     slots = slots.withColumn("block", F.col("k") % F.col("blocks"))

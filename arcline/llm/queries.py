@@ -9,10 +9,12 @@ from .kdshard import op2_sharding
 from .langid import op7_language_id
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_nearest": op4_nearest,
     "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
