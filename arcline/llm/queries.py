@@ -7,6 +7,7 @@ from .chat import OP6_SQL, op6_chat
 from .decontam import OP5_SQL, op5_decontamination
 from .kdshard import op2_sharding
 from .langid import op7_language_id
+from .lmscore import op8_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
 from .toxicity import op3_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
     "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
 }
 
