@@ -7,6 +7,7 @@ from .chat import OP6_SQL, op6_chat
 from .decontam import OP5_SQL, op5_decontamination
 from .kdshard import op2_sharding
 from .langid import op7_language_id
+from .linededup import OP10_SQL, op10_line_dedup
 from .lmscore import op8_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
@@ -22,10 +23,12 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op6_chat": OP6_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
