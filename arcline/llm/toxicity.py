@@ -31,7 +31,7 @@ CALIBRATE = 4
 # fixed values: second-person words by language (English, German, French, Spanish)
 SECOND = frozenset("you your yours yourself u du dich dir dein deine euch ihr tu te toi ton ta vous votre tú ti tus usted vosotros".split())
 # fixed values: characters that stand for letters
-LOOKALIKE = str.maketrans("013457@$!|", "oleastasii")
+LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 NEAR = 5
 CHUNK, BATCH = 4096, 20_000
 _WORD = re.compile(r"\S+")
