@@ -331,23 +331,24 @@ def pick_by_proximity(cands: DataFrame, keys: Sequence[str] = CAM, near: float =
     return fold(c, keys, "frame", {"p": None}, step, "frame long, rank long, pixel_x double, pixel_y double")
 
 
-def drop_static(cands: DataFrame, cell: float = 40.0, decay: float = 0.98, limit: float = 30.0, keys: Sequence[str] = CAM) -> DataFrame:
+def drop_static(cands: DataFrame, cell: float = 40.0, decay: float = 0.98, limit: float = 30.0, keys: Sequence[str] = CAM, width: int = 2048) -> DataFrame:
     """Suppress candidates in pixel cells whose decayed hit count has reached ``limit``.
 
-    One fold per (camera, cell): the count decays with the frames since the last hit.
+    All candidates of a frame count before any of them is judged; counts decay by the frames passed. Sums are
+    taken inside blocks of ``width`` frames and carried over one block: what lies further back weighs less than
+    ``decay ** width`` (1e-18), below the precision of the sum.
     """
     part = [*keys, "cx", "cy"]
-    t = cands.withColumns({"cx": F.floor(F.col("pixel_x") / cell).cast("long"), "cy": F.floor(F.col("pixel_y") / cell).cast("long"),
-                           "at": F.col("frame") * 16 + F.col("rank")})
-
-    def step(state, row):
-        f = int(row.frame)
-        n = state["n"] * decay ** (f - state["f"]) + 1 if state["f"] is not None else 1.0
-        state["n"], state["f"] = n, f
-        return [(f, int(row.rank), n, n < limit)]
-
-    return fold(t.select(*part, "frame", "rank", "at"), part, "at", {"n": 0.0, "f": None}, step,
-                "frame long, rank long, heat double, kept boolean", block=16 * ordered.BLOCK)
+    t = cands.withColumns({"cx": F.floor(F.col("pixel_x") / cell).cast("long"), "cy": F.floor(F.col("pixel_y") / cell).cast("long")}).select(*part, "frame", "rank")
+    n = t.groupBy(*part, "frame").agg(F.count("*").alias("n")).withColumn("_b", F.floor(F.col("frame") / width))
+    since = F.col("frame") - F.col("_b") * width
+    w = Window.partitionBy(*part, "_b").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.sum(F.col("n") * F.pow(F.lit(decay), -since)).over(w) * F.pow(F.lit(decay), since)
+    n = n.withColumn("_own", F.coalesce(earlier, F.lit(0.0)) + F.col("n"))
+    carry = n.groupBy(*part, "_b").agg(F.sum(F.col("n") * F.pow(F.lit(decay), width - since)).alias("_carry")).withColumn("_b", F.col("_b") + 1)
+    n = n.join(carry, [*part, "_b"], "left")
+    n = n.select(*part, "frame", (F.col("_own") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(decay), since)).alias("heat"))
+    return t.join(n, [*part, "frame"]).select(*keys, "frame", "rank", "heat", (F.col("heat") < limit).alias("kept"))
 
 
 def confident(df: DataFrame, q: float = 0.2, keys: Sequence[str] = CAM, conf: str = "blob_sum") -> DataFrame:

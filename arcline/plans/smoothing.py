@@ -190,11 +190,11 @@ def _(spark, sf):
 
 
 @query("w44_static_suppression", """
-WITH RECURSIVE c AS (SELECT session_id, camera, CAST(FLOOR(pixel_x / 40) AS BIGINT) AS cx, CAST(FLOOR(pixel_y / 40) AS BIGINT) AS cy, frame, rank FROM cands),
-n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, camera, cx, cy ORDER BY frame, rank) AS i FROM c),
-h AS (SELECT session_id, camera, cx, cy, i, frame, rank, CAST(1 AS DOUBLE) AS heat FROM n WHERE i = 1
-  UNION ALL SELECT n.session_id, n.camera, n.cx, n.cy, n.i, n.frame, n.rank, h.heat * POW(0.98, n.frame - h.frame) + 1 FROM h JOIN n ON n.session_id = h.session_id AND n.camera = h.camera AND n.cx = h.cx AND n.cy = h.cy AND n.i = h.i + 1)
-SELECT session_id, camera, frame, rank, ROUND(heat, 5) AS heat, heat < 2 AS kept FROM h""")
+WITH c AS (SELECT session_id, camera, CAST(FLOOR(pixel_x / 40) AS BIGINT) AS cx, CAST(FLOOR(pixel_y / 40) AS BIGINT) AS cy, frame, rank FROM cands),
+n AS (SELECT session_id, camera, cx, cy, frame, COUNT(*) AS n FROM c GROUP BY session_id, camera, cx, cy, frame),
+h AS (SELECT a.session_id, a.camera, a.cx, a.cy, a.frame, SUM(b.n * POW(0.98, a.frame - b.frame)) AS heat FROM n a
+  JOIN n b ON b.session_id = a.session_id AND b.camera = a.camera AND b.cx = a.cx AND b.cy = a.cy AND b.frame <= a.frame GROUP BY a.session_id, a.camera, a.cx, a.cy, a.frame)
+SELECT c.session_id, c.camera, c.frame, c.rank, ROUND(heat, 5) AS heat, heat < 2 AS kept FROM c JOIN h USING (session_id, camera, cx, cy, frame)""")
 def _(spark, sf):
     t = S.drop_static(table(spark, sf, "cands"), limit=2.0)
     return t.select("session_id", "camera", "frame", "rank", r("heat", 5).alias("heat"), "kept")
