@@ -50,17 +50,18 @@ def link_blobs(cands: DataFrame, max_px: float = 80.0, gap: int = 3, min_rows: i
     return t.join(long, [*keys, "track"])
 
 
-def match_tracks(a: DataFrame, b: DataFrame, cam_a: tuple, cam_b: tuple, min_common: int = 10, max_ray: float = 1.0, top: int = 50) -> DataFrame:
+def match_tracks(a: DataFrame, b: DataFrame, cam_a: tuple, cam_b: tuple, min_common: int = 10, max_ray: float = 1.0, top: int | None = None) -> DataFrame:
     """Track pairs of two cameras that see one object; rows are the triangulated common frames.
 
-    Only each camera's longest tracks take part, as in the method itself. ``a`` and ``b`` hold
-    session, track, frame, length, world_x, world_y.
+    All tracks take part; ``top`` leaves only each camera's longest ones of a session. ``a`` and ``b``
+    hold session, track, frame, length, world_x, world_y.
     """
     def longest(d: DataFrame, n: str) -> DataFrame:
         w = Window.partitionBy("session_id").orderBy(F.desc("length"), "track")
-        keep = d.select("session_id", "track", "length").distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
-        t = d.join(keep.select("session_id", "track"), ["session_id", "track"], "left_semi")
-        return t.select("session_id", "frame", F.col("track").alias(f"track_{n}"), F.col("world_x").alias(f"{n}_x"), F.col("world_y").alias(f"{n}_y"))
+        if top is not None:
+            keep = d.select("session_id", "track", "length").distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
+            d = d.join(keep.select("session_id", "track"), ["session_id", "track"], "left_semi")
+        return d.select("session_id", "frame", F.col("track").alias(f"track_{n}"), F.col("world_x").alias(f"{n}_x"), F.col("world_y").alias(f"{n}_y"))
 
     t = triangulated(longest(a, "a").join(longest(b, "b"), ["session_id", "frame"]), "a", "b", cam_a, cam_b)
     pair = ["session_id", "track_a", "track_b"]

@@ -94,14 +94,14 @@ def minima(rows):
 @query("a10_ransac_fits")
 def _(spark, sf):
     rows = cut_lineage(rallies(spark, sf))
-    inl = FT.ransac_fits(rows, KEY, trials=60)
+    inl = FT.ransac_fits(rows, KEY, trials=300)
     return rounded(FT.parabola_fits(inl, KEY).select(*KEY, "n", "ax", "az", "speed_ms"), "ax", "az", "speed_ms")
 
 
 @query("a11_trajectory_assembly")
 def _(spark, sf):
     rows = cut_lineage(rallies(spark, sf))
-    inl = cut_lineage(FT.ransac_fits(rows, KEY, trials=60))
+    inl = cut_lineage(FT.ransac_fits(rows, KEY, trials=300))
     cut = FT.best_split(inl, B.robust_minima(inl))
     s = FT.strokes(inl, cut)
     return rounded(FT.net_passage(s).select(*KEY, "stroke", "n", "speed_ms", "mean_error", "land_y", "net_kmh"), "speed_ms", "mean_error", "land_y", "net_kmh")

@@ -26,11 +26,13 @@ def local_session(app: str = "arcline", cores: str = "*", partitions: int = 8) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a scratch one only where unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a scratch one only where unset in local mode."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = sc.getCheckpointDir()
     return named or current

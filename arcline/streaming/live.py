@@ -139,12 +139,14 @@ def emit_unseen(stream: DataFrame, name: str, keys: Sequence[str], transform: Ca
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
-def closed_rallies_with_rows(rallies: DataFrame, play: DataFrame, max_rows: int = 3000) -> DataFrame:
-    """Rows of each closed rally for export: the newest ``max_rows`` of it, as the export keeps them."""
+def closed_rallies_with_rows(rallies: DataFrame, play: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows of each closed rally for export; ``max_rows`` keeps only the newest ones of a rally."""
     from pyspark.sql import Window
 
     from ..operators.joins import interval_join
 
     j = interval_join(play, rallies.select("session_id", "rally", "start_frame", "end_frame"), ["session_id"], "frame", "start_frame", "end_frame", 256)
+    if max_rows is None:
+        return j
     w = Window.partitionBy("session_id", "rally").orderBy(F.desc("frame"))
     return j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_rows).drop("_rn")
