@@ -16,7 +16,7 @@ class CourtSpec:
     net_y: float = 0.0
     net_height: float = 0.914
     service_line: float = 6.4
-    baseline_zone: float = 8.0
+    baseline_zone: float = 6.885  # within 5 m of a baseline
     in_margin: float = 0.15
     net_zone: float = 1.5
 

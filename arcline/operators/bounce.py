@@ -224,7 +224,7 @@ def hybrid_bounces(points: DataFrame) -> DataFrame:
     """Whole-recording detector: candidates nearer than five frames keep the best score."""
     from .motion import keep_last_better
 
-    c = hybrid_signals(points, 4, (3, 4, 6), 1.5, 3, 20, 3.0, 6, 7)
+    c = hybrid_signals(points, 4, (3, 4, 6), 1.5, 3, 20, 3.0, 6, 6)
     return keep_last_better(c, 5, F.col("v_score") + 0.1 * F.col("ratio"), "x double, y double, z double")
 
 

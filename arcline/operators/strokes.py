@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..court import COURT
 from ..functions.geometry import hypot
 from .joins import band_join
 from .ordered import segments, windowed
@@ -21,7 +22,7 @@ def long_segments(df: DataFrame, gap: int = 3, min_rows: int = 5) -> DataFrame:
 
 
 def extrema_bounces(track: DataFrame, wy_prom: float = 0.5, py_prom: float = 8.0, rows: int = 5, cooldown: int = 8,
-                    band: tuple[float, float] = (-10.0, 20.0), min_py: float = 100.0) -> DataFrame:
+                    band: tuple[float, float] = (-9.885, 20.115), min_py: float = 100.0) -> DataFrame:
     """Landings from turning points of the ground y and maxima of the image y, first one wins."""
     s = long_segments(track).withColumns({"_neg": -F.col("world_y"), "_wy": F.col("world_y")})
     seg = [*KEYS, "seg"]
@@ -44,10 +45,10 @@ def agreement_bounces(a: DataFrame, b: DataFrame, max_dist: float = 4.0, promine
     return first_wins(p, KEYS, cooldown).select(*KEYS, "frame", "world_x", "world_y", "dist", F.when(F.col("world_y") < 0, "near").otherwise("far").alias("side"))
 
 
-def serves(track: DataFrame, gap: int = 15, look: int = 40, zone: float = 8.0, leave: float = 2.0) -> DataFrame:
+def serves(track: DataFrame, gap: int = 15, look: int = 40, zone: float = COURT.baseline_zone, leave: float = 2.0) -> DataFrame:
     """After a pause that ends behind a baseline: the last row in that zone before the ball leaves.
 
-    The look ahead spans ``look`` frames from the first row, so one bordered window suffices.
+    The look ahead spans ``look`` frames and as many rows from the first one, so one bordered window suffices.
     """
 
     def build(t: DataFrame, w: WindowSpec) -> DataFrame:
@@ -69,7 +70,7 @@ def serves(track: DataFrame, gap: int = 15, look: int = 40, zone: float = 8.0, l
         gone = acc["out"] | (deep < zone - leave)
         return F.struct(gone.alias("out"), F.when(~gone & (deep > zone), s).otherwise(acc["hit"]).alias("hit"))
 
-    t = t.withColumn("h", F.aggregate("_rows", acc0, walk)["hit"])
+    t = t.withColumn("h", F.aggregate(F.slice("_rows", 1, look), acc0, walk)["hit"])
     return t.select(*KEYS, F.col("frame").alias("start_frame"), "h.*", "side")
 
 

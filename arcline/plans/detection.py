@@ -106,7 +106,7 @@ hr AS (SELECT session_id, frame, GREATEST({ratio}) AS ratio FROM hf),
 ha AS (SELECT hc.session_id, hc.frame, hc.g, x, y, z, mb + ma AS vs, ratio FROM hc JOIN hr USING (session_id, frame) WHERE (LEAST(mb, ma) >= 0.1 AND GREATEST(mb, ma) >= 0.2) OR ratio >= 5 OR (ratio >= 2 AND z < 0.4))"""
 
 
-@query("w19_hybrid_bounces", f"""WITH RECURSIVE {hybrid_sql(4, (3, 4, 6), 1.5, 3, 20, 6, 7)},
+@query("w19_hybrid_bounces", f"""WITH RECURSIVE {hybrid_sql(4, (3, 4, 6), 1.5, 3, 20, 6, 6)},
 c AS (SELECT *, vs + 0.1 * ratio AS sc, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame) AS i FROM ha),
 k AS (SELECT session_id, i, frame AS kf, sc AS ks, z AS kz, 1 AS grp FROM c WHERE i = 1
   UNION ALL SELECT c.session_id, c.i, CASE WHEN c.frame - kf >= 5 OR c.sc > ks THEN c.frame ELSE kf END, CASE WHEN c.frame - kf >= 5 OR c.sc > ks THEN c.sc ELSE ks END, CASE WHEN c.frame - kf >= 5 OR c.sc > ks THEN c.z ELSE kz END,
@@ -193,10 +193,10 @@ def _(spark, sf):
 
 SERVES = """
 v1 AS (SELECT session_id, frame, world_y AS wy, CASE WHEN frame - LAG(frame) OVER (PARTITION BY session_id ORDER BY frame) <= 7 THEN 0 ELSE 1 END AS st FROM det66),
-v2 AS (SELECT *, CASE WHEN wy < -8 THEN -1 ELSE 1 END AS sg FROM v1 WHERE st = 1 AND (wy < -8 OR wy > 8)),
-v3 AS (SELECT s.session_id, s.frame AS start_frame, s.sg, d.frame, d.world_y * s.sg AS deep, d.world_y AS wy FROM v2 s JOIN det66 d ON d.session_id = s.session_id AND d.frame BETWEEN s.frame AND s.frame + 40),
-v4 AS (SELECT *, MIN(CASE WHEN deep < 6 THEN frame END) OVER (PARTITION BY session_id, start_frame) AS leave FROM v3),
-vs AS (SELECT session_id, start_frame, MAX(frame) AS frame, CASE WHEN MIN(sg) < 0 THEN 'near' ELSE 'far' END AS side FROM v4 WHERE deep > 8 AND (leave IS NULL OR frame < leave) GROUP BY session_id, start_frame)"""
+v2 AS (SELECT *, CASE WHEN wy < -6.885 THEN -1 ELSE 1 END AS sg FROM v1 WHERE st = 1 AND (wy < -6.885 OR wy > 6.885)),
+v3 AS (SELECT s.session_id, s.frame AS start_frame, s.sg, d.frame, d.world_y * s.sg AS deep, d.world_y AS wy FROM v2 s JOIN det66 d ON d.session_id = s.session_id AND d.frame BETWEEN s.frame AND s.frame + 40 QUALIFY ROW_NUMBER() OVER (PARTITION BY s.session_id, s.frame ORDER BY d.frame) <= 40),
+v4 AS (SELECT *, MIN(CASE WHEN deep < 4.885 THEN frame END) OVER (PARTITION BY session_id, start_frame) AS leave FROM v3),
+vs AS (SELECT session_id, start_frame, MAX(frame) AS frame, CASE WHEN MIN(sg) < 0 THEN 'near' ELSE 'far' END AS side FROM v4 WHERE deep > 6.885 AND (leave IS NULL OR frame < leave) GROUP BY session_id, start_frame)"""
 
 
 @query("w29_serves", f"WITH {SERVES} SELECT * FROM vs")

@@ -133,7 +133,7 @@ def _(spark, sf):
 
 
 @query("p15_side_and_zone", """
-SELECT session_id, frame, CASE WHEN y < 0 THEN 'near' ELSE 'far' END AS side, y < -8 OR y > 8 AS baseline FROM points""")
+SELECT session_id, frame, CASE WHEN y < 0 THEN 'near' ELSE 'far' END AS side, y < -6.885 OR y > 6.885 AS baseline FROM points""")
 def _(spark, sf):
     y = F.col("y")
     return table(spark, sf, "points").select("session_id", "frame", G.side(y).alias("side"), P.baseline_zone(y).alias("baseline"))

@@ -133,3 +133,39 @@ def test_hot_session_spreads_over_partitions(spark):
     t = ordered.spread(df, "frame", 8, 8, 500)
     per = t.groupBy("_blk").count().agg(F.max("count")).collect()[0][0]
     assert per <= 516 and t.where("_own").count() == 40000
+
+
+def test_baseline_zone_is_five_metres(spark):
+    from arcline.operators.predicates import baseline_zone
+
+    rows = spark.createDataFrame([(y,) for y in (-6.8, -6.9, 0.0, 6.8, 6.9, 8.0)], "y double")
+    assert [r[0] for r in rows.select(baseline_zone(F.col("y"))).collect()] == [False, True, False, False, True, True]
+
+
+def test_all_tracks_match(spark):
+    """Sixty tracks a camera, all seen by both: none is left out."""
+    rows = []
+    for k in range(60):
+        for f in range(12):
+            rows.append((1, k, 100 * k + f, 12 + (k == 0), 0.3, 0.2 * f))
+    d = spark.createDataFrame(rows, "session_id long, track long, frame long, length long, world_x double, world_y double")
+    a, b = (0.0, -20.0, 8.0), (0.0, 20.0, 8.0)
+    seen = lambda c: d.withColumns({"world_x": c[0] + (F.col("world_x") - c[0]) * 8 / 7, "world_y": c[1] + (F.col("world_y") - c[1]) * 8 / 7})  # noqa: E731  a ball at 1 m
+    got = TR.match_tracks(seen(a), seen(b), a, b).select("track_a", "track_b").distinct().collect()
+    assert {tuple(r) for r in got} == {(k, k) for k in range(60)}
+
+
+def test_static_cells_decay_by_frame(spark):
+    """Against one pass in order, over several blocks; both candidates of a frame count before either is judged."""
+    from arcline.operators.smooth import drop_static
+
+    r = random.Random(4)
+    rows = [(1, "cam66", f, k, 100.0 + r.random(), 50.0) for f in sorted(r.sample(range(9000), 900)) for k in range(r.randint(1, 2))]
+    got = {(x["frame"], x["rank"]): x["heat"] for x in drop_static(spark.createDataFrame(rows, "session_id long, camera string, frame long, rank long, pixel_x double, pixel_y double")).collect()}
+    heat, last, want = 0.0, None, {}
+    for f in sorted({x[2] for x in rows}):
+        n = [x for x in rows if x[2] == f]
+        heat = heat * 0.98 ** (f - last if last is not None else 0) + len(n)
+        last = f
+        want.update({(f, x[3]): heat for x in n})
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
