@@ -169,3 +169,13 @@ def test_static_cells_decay_by_frame(spark):
         last = f
         want.update({(f, x[3]): heat for x in n})
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_package_can_be_shipped(spark):
+    import zipfile
+
+    from arcline.session import ship
+
+    ship(spark)
+    name = [p for p in spark.sparkContext._python_includes if p.endswith("arcline.zip")]
+    assert name and "arcline/operators/fold.py" in zipfile.ZipFile(f"{spark.sparkContext._jvm.org.apache.spark.SparkFiles.getRootDirectory()}/{name[0]}").namelist()
