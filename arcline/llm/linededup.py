@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, settled
+from .common import broadcast_if_small, settled
 
 #: Suffixes of one rank are counted in slices of this many bits of their second rank, so no group is sorted whole.
 SLICE = 12
@@ -45,7 +45,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 def _doc(id_col: str) -> Column:
     """Identity and order of a document: null ids last; rows equal in id and text are one document."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col("text")).alias("h"))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(F.col("text")).alias("h"))
 
 
 def _line_array() -> Column:
@@ -55,7 +55,7 @@ def _line_array() -> Column:
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc, pos, words) of each line to delete, from (doc, text) with one row for each doc; pos counts from 0."""
     each = docs.filter("text is not null").select("doc", F.posexplode(_line_array()).alias("pos", "line")).withColumn("line", F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")))
-    lines = settled(each.filter("line <> ''").select("doc", "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")))
+    lines = settled(each.filter("line <> ''").select("doc", "pos", F.size(F.array_remove(F.split("line", " ", -1), "")).cast("long").alias("words"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")))
     # lines that are followed by another repeated one stay together; blank lines don't part them
     by_doc = W.partitionBy("doc").orderBy("pos")
     rows = lines.withColumn("seq", F.row_number().over(by_doc)).join(_numbered(lines), ["a", "b"])
@@ -107,17 +107,18 @@ def without_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     if not named.groupBy("doc").count().filter("count > 1").isEmpty():
         one = one.dropDuplicates(["doc"])
     gone = settled(later_copies(one, min_words))
-    sums = gone.groupBy("doc").agg(F.count("*").alias("removed_lines"), F.sum("words").alias("removed_words"))
-    # only changed texts are taken apart and put together again
-    same = lambda c: F.struct(F.col(f"{c}.none"), F.coalesce(F.col(f"{c}.id"), F.lit(0)).alias("id"), F.col(f"{c}.h"))  # noqa: E731  no null inside, so that it can be joined on
-    sums = sums.select(same("doc").alias("key"), "removed_lines", "removed_words").hint("shuffle_hash")
-    changed = one.select(same("doc").alias("key"), "text").join(sums.select("key"), "key", "left_semi")
-    parts = changed.select("key", F.posexplode(_line_array()).alias("pos", "line"))
-    parts = parts.join(gone.select(same("doc").alias("key"), "pos").hint("shuffle_hash"), ["key", "pos"], "left_anti")
-    built = parts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("built"))
-    out = named.select("id", same("doc").alias("key"), "text").join(sums, "key", "left").join(built, "key", "left")
-    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.coalesce("built", F.lit("")))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("text").isNull(), 0).otherwise(F.size(_line_array())).cast("long").alias("lines"),
+    # neighbouring lines to delete as one run (first, last), a list of runs for each changed document
+    step = F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos"))
+    runs = gone.withColumn("step", step).groupBy("doc", "step").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("lines"), F.sum("words").alias("words"))
+    runs = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("lines").alias("removed_lines"), F.sum("words").alias("removed_words"))
+    out = named.join(broadcast_if_small(settled(runs)), "doc", "left").withColumn("parts", _line_array())
+    # what stays lies before the first run, between two, and after the last; parts is used twice so that it is made once
+    n, last = F.size("parts"), F.size("runs")
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["last"] + 1)
+    end = lambda i: F.when(i == last, n).otherwise(F.get("runs", i)["first"])
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("parts", begin(i) + 1, F.greatest(F.lit(0), end(i) - begin(i))))
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("lines"),
                       F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), text.alias("text"))
 
 
