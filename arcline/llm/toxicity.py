@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, held_out, settled
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most; drawn by a hash of the id.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Words and letter runs in the lexicon, at most; times as frequent in toxic texts, and in how many at least.
 LEXICON, TIMES, LEAST = 2000, 8.0, 5
 #: Share of the sample that calibrates.
@@ -33,8 +33,9 @@ SECOND = frozenset("you your yours yourself u du dich dir dein deine euch ihr tu
 # fixed values: characters that stand for letters
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 NEAR = 5
-CHUNK, BATCH = 4096, 20_000
-_WORD = re.compile(r"\S+")
+#: Characters of a text, rows of a table and words of a memory that are handled together.
+CHUNK, BATCH, KNOWN = 1 << 18, 20_000, 300_000
+_SPACE, _MARKS = re.compile(r"\s"), re.compile(r"[\W_]+")
 _EDGE = re.compile(r"^[^\w@$!|*]+|[^\w@$|*]+$")
 _INSIDE = re.compile(r"(?<=\w)[*.\-_@$!|#%&+](?=\w)|(?<=[^\W\d])\d(?=[^\W\d])")
 _REPEAT = re.compile(r"(.)\1\1+")
@@ -46,69 +47,106 @@ NAMES = ["log_words", "lexicon", "lexicon_any", "lexicon_kinds", "plain_lexicon"
 
 def _plain(w: str) -> str:
     """A word without look-alikes, marks inside it and threefold letters."""
-    return _REPEAT.sub(r"\1", re.sub(r"[\W_]+", "", w.translate(LOOKALIKE)))
+    return _REPEAT.sub(r"\1", _MARKS.sub("", w.translate(LOOKALIKE)))
 
 
-def _tokens(text: str) -> Iterator[list[str]]:
-    """Words in lower case without marks around them, some thousand at a time."""
-    part: list[str] = []
-    for m in _WORD.finditer(text.lower()):
-        part.append(_EDGE.sub("", m.group()))
-        if len(part) == CHUNK:
-            yield part
-            part = []
-    yield part
+def _parts(text: str) -> Iterator[str]:
+    """The text in pieces that end at white space, about ``CHUNK`` characters each."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        if end < len(text):
+            m = _SPACE.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _terms(text: str) -> set[str]:
     """The terms that may enter the lexicon: words as written, plain words, and stems (marked)."""
+    kinds = {w for part in _parts(text.lower()) for w in part.split()}
     out: set[str] = set()
-    for part in _tokens(text):
-        out.update(part)
-        for w in part:
-            p = _plain(w)
-            out.add("=" + p)
-            out.update("^" + p[:n] for n in STEMS if len(p) > n)
-    out -= {"", "="}
-    return out
-
-
-def _features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    text = text or ""
-    words = hits = plain_hits = stem_hits = near = second = densest = 0
+    for w in kinds:
+        w = w if w.isalpha() else _EDGE.sub("", w)
+        p = _plain(w)
+        out.update((w, "=" + p))
+        out.update("^" + p[:n] for n in STEMS if len(p) > n)
+    return out - {"", "="}
+
+
+def _word(token: str, lexicon: dict[str, float]) -> tuple | None:
+    """What one word adds to the features; None for the many that add nothing."""
+    w, many = token.lower(), len(_REPEAT.findall(token))
+    if not w.isalpha():
+        w = _EDGE.sub("", w)
+    p = w if w.isalpha() and not many else _plain(w)
+    direct, undone = lexicon.get(w, 0.0) if w else 0.0, lexicon.get("=" + p, 0.0)
+    stem = max([lexicon.get("^" + p[:n], 0.0) for n in STEMS if len(p) > n], default=0.0)
+    shout = len(token) > 2 and token.isupper() and sum(map(str.isalpha, token)) > 2
+    flags = (w in SECOND, shout, 0 if token.isalpha() else len(_INSIDE.findall(token)), many)
+    weight = max(direct, undone, stem)
+    return (weight, bool(direct), bool(undone), bool(stem), p, *flags) if weight or any(flags) else None
+
+
+class Kinds:
+    """Letters and capitals by code point, for those below 2^16."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def count(cls, text: str) -> tuple[int, int]:
+        if cls.table is None:
+            cls.table = np.array([c.isalpha() + 2 * c.isupper() for c in map(chr, range(1 << 16))], np.uint8)
+        letters = capitals = 0
+        for part in _parts(text):
+            code = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
+            kind = cls.table[code[code < 1 << 16]]
+            letters += int(np.count_nonzero(kind & 1))
+            capitals += int(np.count_nonzero(kind & 2))
+        return letters, capitals
+
+
+def _features(text: str | None, lexicon: dict[str, float], seen: dict | None = None) -> list[float]:
+    """``seen`` keeps what words add between texts; it never holds more than ``KNOWN`` words."""
+    text, seen = text or "", {} if seen is None else seen
+    words = hits = plain_hits = stem_hits = near = second = densest = shouts = inside = repeats = 0
     kinds: set[str] = set()
     last_you = last_hit = -10**9
-    weights: list[float] = []
+    total = 0.0
     recent: list[int] = []
-    for part in _tokens(text):
-        for w in part:
+    for part in _parts(text):
+        for token in part.split():
             words += 1
-            if w in SECOND:
+            try:
+                found = seen[token]
+            except KeyError:
+                found = _word(token, lexicon)
+                if len(seen) < KNOWN:
+                    seen[token] = found
+            if found is None:
+                continue
+            weight, direct, undone, stem, p, you, shout, marks, many = found
+            shouts += shout
+            inside += marks
+            repeats += many
+            if you:
                 second += 1
                 last_you = words
                 near += words - last_hit <= NEAR
-            if not w:
-                continue
-            p = _plain(w)
-            direct = lexicon.get(w, 0.0)
-            undone = lexicon.get("=" + p, 0.0)
-            stem = max([lexicon.get("^" + p[:n], 0.0) for n in STEMS if len(p) > n], default=0.0)
-            if direct or undone or stem:
-                hits += bool(direct)
-                plain_hits += bool(undone)
-                stem_hits += bool(stem)
-                weights.append(max(direct, undone, stem))
+            if weight:
+                hits += direct
+                plain_hits += undone
+                stem_hits += stem
+                total += weight
                 kinds.add(p)
                 near += words - last_you <= NEAR
                 last_hit = words
                 recent = [x for x in recent if words - x < 50] + [words]
                 densest = max(densest, len(recent))
+    letters, caps = Kinds.count(text)
     n, chars = max(1, words), max(1, len(text))
-    letters = max(1, sum(map(str.isalpha, text)))
-    caps = sum(map(str.isupper, text))
-    return [float(np.log1p(words)), hits / n, float(sum(weights)), float(len(kinds)), plain_hits / n, stem_hits / n, near / n, second / n, float(densest), caps / letters,
-            sum(1 for w in re.findall(r"\b[^\W\d_]{3,}\b", text) if w.isupper()) / n, sum(map(text.count, ".,;:?'\"-")) / chars, text.count("!") / n,
-            len(_INSIDE.findall(text)) / n, len(_REPEAT.findall(text)) / n, sum(map(str.isdigit, text)) / chars, letters / n]
+    return [float(np.log1p(words)), hits / n, total, float(len(kinds)), plain_hits / n, stem_hits / n, near / n, second / n, float(densest), caps / max(1, letters),
+            shouts / n, sum(map(text.count, ".,;:?'\"-")) / chars, text.count("!") / n, inside / n, repeats / n, sum(map(text.count, "0123456789")) / chars, letters / n]
 
 
 @dataclass
@@ -127,8 +165,9 @@ def features(spark: SparkSession, text: Column, lexicon: dict[str, float]) -> Co
 
     @F.pandas_udf("array<double>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen: dict = {}
         for s in batches:
-            yield pd.Series([_features(t, shared.value) for t in s])
+            yield pd.Series([_features(t, shared.value, seen) for t in s])
 
     return of(text)
 
