@@ -33,22 +33,22 @@ def _scaled(c: str, low: str, high: str) -> Column:
     return F.when(F.col(high) > F.col(low), F.floor((F.col(c) - F.col(low)) / (F.col(high) - F.col(low)) * top)).otherwise(0).cast("long")
 
 
-def _split_points(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """(node, cut): rows of a node with key < cut go left, their bytes as near below ``left`` as keys allow.
+def _split_points(rows: DataFrame) -> DataFrame:
+    """(node, cut): rows of a node with key < cut go left; their bytes are as near below ``left`` as keys allow.
 
-    ``rows`` has node, key, size; ``goal`` has node, left (bytes). The state of each node, the lower end of a
-    bin and the bytes below it, is a row of a table; each step sums the rows of the one bin that is open.
+    ``rows`` has node, key, size and the node's left (bytes). The state of each node, the lower end of a bin
+    and the bytes below it, is a row of a table; each step sums the rows of the one bin that is open.
     """
-    bits = COORD + TIE
-    state = goal.select("node", "left", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below"))
+    bits, state = COORD + TIE, None
     while bits > 0:
-        step = min(STEP, bits)
-        rest = bits - step
-        open_rows = rows.join(state, "node").filter(F.shiftright(F.col("key") - F.col("low"), bits) == 0)
-        bins = open_rows.withColumn("bin", F.shiftright(F.col("key") - F.col("low"), rest)).groupBy("node", "bin").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("low").alias("low"), F.first("below").alias("below"))
-        upto = F.sum("n").over(W.partitionBy("node").orderBy("bin")) + F.col("below")
-        bins = bins.withColumn("upto", upto)
-        # the first bin that passes the goal; it holds the cut
+        rest = bits - min(STEP, bits)
+        if state is None:
+            bins = rows.withColumn("low", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
+        else:
+            bins = rows.select("node", "key", "size").join(state, "node").filter(F.shiftright(F.col("key") - F.col("low"), bits) == 0)
+        bins = bins.withColumn("bin", F.shiftright(F.col("key") - F.col("low"), rest)).groupBy("node", "bin").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("low").alias("low"), F.first("below").alias("below"))
+        bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("node").orderBy("bin")) + F.col("below"))
+        # the first bin that passes the goal holds the cut
         first = bins.filter(F.col("upto") > F.col("left")).groupBy("node").agg(F.min_by(F.struct("bin", "n", "upto", "left", "low"), "bin").alias("b"))
         state = settled(first.select("node", F.col("b.left").alias("left"), (F.col("b.low") + F.shiftleft(F.col("b.bin"), rest)).alias("low"), (F.col("b.upto") - F.col("b.n")).alias("below")))
         bits = rest
@@ -85,7 +85,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
         keyed = rows.join(nodes, "node", "left")
         key = F.element_at(F.array("c0", "c1", "c2"), F.col("axis") + 1) * (1 << TIE) + F.col("tie")
         keyed = keyed.withColumn("key", key)
-        cuts = _split_points(keyed.filter("axis is not null").select("node", "key", "size"), nodes.select("node", "left"))
+        cuts = _split_points(keyed.filter("axis is not null").select("node", "key", "size", "left"))
         keyed = keyed.join(cuts, "node", "left")
         right = F.coalesce(F.col("key") >= F.col("cut"), F.lit(False))
         rows = settled(keyed.select("id", "size", "text_crc32", "tie", "c0", "c1", "c2",
