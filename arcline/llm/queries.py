@@ -12,6 +12,7 @@ from .lmscore import op8_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op1_simhash
 from .toxicity import op3_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_chat": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
