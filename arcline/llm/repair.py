@@ -36,6 +36,7 @@ WHITE = " \t\n\x0b\x0c\r"
 ROLES = {"u": "user", "a": "assistant"}
 
 
+@lru_cache(100_000)
 def search(rows: str, entry: int, exits: tuple[int, ...], last: bool) -> tuple[int, str] | None:
     """(cost, initials) of the cheapest edits that lead from state ``entry`` to one of ``exits``, or None.
 
@@ -93,6 +94,7 @@ def steps(rows: str, entry: int, audit: str) -> list[tuple[str, str, str]]:
     return out + [(ins, "", "")] if ins else out
 
 
+@lru_cache(10_000)
 def table(rows: str, last: bool) -> tuple[list[int], list[int]]:
     """For every (entry, exit): the cost (-1: no way), and the rank of its initials among the exits of that entry."""
     cost, rank = [-1] * 16, [-1] * 16
@@ -130,9 +132,6 @@ def composed(pieces: list[tuple[list[int], list[int]]]) -> tuple[list[int], list
     return cost, rank
 
 
-_search, _table = lru_cache(100_000)(search), lru_cache(10_000)(table)
-
-
 def with_faults(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, role, text) with place and fault: blank, duplicate, truncated or null; the first that holds.
 
@@ -175,7 +174,7 @@ LEGAL = ("su", "ua", "au")
 
 
 def _solved(conv, idx, codes, after, last, entry, exits):
-    cost, audit = _search(codes, entry, tuple(exits), last)
+    cost, audit = search(codes, entry, tuple(exits), last)
     roles = codes[::2] + (after or "")
     illegal = sum(roles[i : i + 2] not in LEGAL for i in range(len(roles) - 1))
     done = steps(codes, entry, audit)
@@ -203,7 +202,7 @@ def _long(p: DataFrame, top: int, kind: str) -> DataFrame:
     """Pieces of conversations of several, with the states at their ends on the best path."""
     ints, spec = pa.list_(pa.int32()), f"conv_id {kind}; idx long; cost array<int>; rank array<int>"
     types = [None, pa.int64(), ints, ints]
-    level = settled(_mapped(p.select("conv_id", "idx", "codes", "last"), lambda conv, idx, codes, last: [(conv, idx, *_table(codes, last))], spec, types))
+    level = settled(_mapped(p.select("conv_id", "idx", "codes", "last"), lambda conv, idx, codes, last: [(conv, idx, *table(codes, last))], spec, types))
     groups = []
     while top:
         up = level.groupBy("conv_id", F.floor(F.col("idx") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("idx", "cost", "rank"))).alias("parts"))
