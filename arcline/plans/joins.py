@@ -304,12 +304,15 @@ def _(spark, sf):
     return t.select("session_id", "camera", "frame", "source", r("pixel_x", 5).alias("pixel_x"), r("conf", 5).alias("conf"))
 
 
-@query("j25_fusion_mode", _tri_sql("""SELECT COALESCE(a.session_id, b.session_id) AS session_id, COALESCE(a.frame, b.frame) AS frame,
+FUSION_SQL = _tri_sql("""SELECT COALESCE(a.session_id, b.session_id) AS session_id, COALESCE(a.frame, b.frame) AS frame,
   CASE WHEN tri.rd < 2 THEN '3d' ELSE 'single_cam' END AS mode,
   ROUND(CASE WHEN tri.rd < 2 THEN tri.x WHEN b.frame IS NULL OR a.blob_sum >= b.blob_sum THEN a.world_x ELSE b.world_x END, 5) AS x,
   ROUND(CASE WHEN tri.rd < 2 THEN tri.z ELSE 0 END, 5) AS z
 FROM det66 a FULL JOIN det68 b ON a.session_id = b.session_id AND a.frame = b.frame
-LEFT JOIN tri ON tri.session_id = a.session_id AND tri.frame = b.frame AND a.frame = b.frame"""))
+LEFT JOIN tri ON tri.session_id = a.session_id AND tri.frame = b.frame AND a.frame = b.frame""")
+
+
+@query("j25_fusion_mode", FUSION_SQL)
 def _(spark, sf):
     a, b = _ab(spark, sf)
     return J.fusion_mode(a, b, CAM_A, CAM_B).select("session_id", "frame", "mode", r("x", 5).alias("x"), r("z", 5).alias("z"))

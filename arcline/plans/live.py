@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geometry import triangulated
 from ..operators import bounce as B
 from ..operators import rally as R
 from ..operators.fold import fold
 from ..operators.joins import pair_frames
+from ..operators.smooth import sg_matrix
+from ..streaming import inorder as I
 from ..streaming import live as L
+from ..streaming import reports as RP
+from ..streaming import rules as S
 from .fixtures import _FROM, _T, CAM_A, CAM_B, table
 from .geometry import _tri_sql
+from .joins import FUSION_SQL, greedy_sql
 from .registry import query, r
 
 KEYS = ["session_id"]
@@ -87,3 +93,140 @@ SELECT session_id, rally, n FROM q""")
 def _(spark, sf):
     ra = R.crossing_rallies(table(spark, sf, "points"), table(spark, sf, "gt_events"))
     return L.closed_rallies_with_rows(ra, table(spark, sf, "play")).groupBy("session_id", "rally").agg(F.count("*").alias("n"))
+
+
+# ---- rules in event-time order, over the table cut into files ---------------------------------
+
+DETECTION = ("world_x", "world_y", "pixel_x", "pixel_y", "blob_sum")
+
+
+def camera_rows(spark, sf):
+    """Both cameras as one series; the second one captures 13 ms later."""
+    late = F.when(F.col("camera") == "cam66", 0).otherwise(13)
+    return table(spark, sf, "det").select("session_id", F.when(F.col("camera") == "cam66", "a").otherwise("b").alias("side"), "frame",
+                                          ((F.col("frame") * 40 + late) / 1000).alias("t"), *DETECTION)
+
+
+def ball_rows(spark, sf):
+    """3-D points with what each camera saw of them."""
+    p, d = table(spark, sf, "points").select("session_id", "frame", "t", "x", "y", "z"), table(spark, sf, "det")
+    for side, cam in (("a", "cam66"), ("b", "cam68")):
+        p = p.join(d.where(F.col("camera") == cam).select("session_id", "frame", F.col("world_x").alias(f"{side}_x"), F.col("world_y").alias(f"{side}_y"), F.col("blob_sum").alias(f"{side}_conf")),
+                   ["session_id", "frame"], "left")
+    return p
+
+
+def rally_rows(spark, sf):
+    e = table(spark, sf, "gt_events").select("session_id", "frame", F.lit(True).alias("bounce"))
+    return table(spark, sf, "points").select("session_id", "frame", "t", "y").join(e, ["session_id", "frame"], "left")
+
+
+_PAIRS = """SELECT session_id, tt AS driver_at, pick AS partner_at FROM g WHERE pick IS NOT NULL"""
+_DRIVER, _PARTNER = "SELECT session_id, frame * 40 AS tt FROM det66", "SELECT session_id, frame * 40 + 13 AS tt FROM det68"
+
+
+def live_pairs(spark, sf, files=4):
+    return I.in_order(I.replayed(camera_rows(spark, sf), "t", files), KEYS, S.pairing(cols=DETECTION))
+
+
+@query("x1_stream_nearest", greedy_sql(_DRIVER, _PARTNER, 2000, "nearest_unused", True, f"SELECT session_id, CAST(driver_at / 40 AS BIGINT) AS frame, CAST((partner_at - 13) / 40 AS BIGINT) AS b_frame FROM ({_PAIRS})"))
+def _(spark, sf):
+    return I.drained(live_pairs(spark, sf), "nearest").select("session_id", "frame", "b_frame")
+
+
+@query("x2_x3_stream_gate", greedy_sql(_DRIVER, _PARTNER, 2000, "nearest_unused", True, f"""
+, j AS (SELECT q.session_id, a.frame, [a.pixel_x, a.pixel_y, b.pixel_x, b.pixel_y] AS quad, (a.blob_sum + b.blob_sum) / 2 AS conf, ROW_NUMBER() OVER (PARTITION BY q.session_id ORDER BY a.frame) AS i
+  FROM ({_PAIRS}) q JOIN det66 a ON a.session_id = q.session_id AND a.frame * 40 = driver_at JOIN det68 b ON b.session_id = q.session_id AND b.frame * 40 + 13 = partner_at),
+s AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS DOUBLE[]) AS q, CAST([] AS DOUBLE[]) AS h, CAST(0 AS DOUBLE) AS th, CAST(NULL AS DOUBLE) AS conf, FALSE AS ok FROM j GROUP BY session_id
+  UNION ALL SELECT session_id, i, frame, CASE WHEN ok THEN quad ELSE q END, h, th, conf, ok FROM (SELECT *, NOT same AND conf >= th AS ok FROM (
+    SELECT *, CASE WHEN NOT same AND LEN(h) >= 50 AND LEN(h) % 50 = 0 THEN LIST_SORT(h)[CAST(FLOOR(LEN(h) * 0.2) AS BIGINT) + 1] ELSE th0 END AS th FROM (
+      SELECT j.session_id, j.i, j.frame, s.q, j.quad, j.conf, s.th AS th0, COALESCE(s.q = j.quad, FALSE) AS same, CASE WHEN COALESCE(s.q = j.quad, FALSE) THEN s.h ELSE LIST_APPEND(s.h, j.conf)[-500:] END AS h
+      FROM s JOIN j ON j.session_id = s.session_id AND j.i = s.i + 1) t) u) v)
+SELECT session_id, frame, ROUND(conf, 6) AS conf, ROUND(th, 6) AS threshold FROM s WHERE ok"""))
+def _(spark, sf):
+    t = I.drained(I.in_order(live_pairs(spark, sf), KEYS, S.gate(), None), "gated")
+    return t.select("session_id", "frame", r("conf").alias("conf"), r("threshold").alias("threshold"))
+
+
+_SG = [float(v) for v in sg_matrix(11, 3)[5]]
+
+
+def _online(c):
+    return " + ".join(f"{w!r} * LAG({c}, {10 - k}) OVER w" for k, w in enumerate(_SG))
+
+
+@query("w53_online_smoothing", f"""
+WITH c AS (SELECT *, CASE WHEN t - LAG(t) OVER (PARTITION BY session_id ORDER BY frame) <= 0.2 THEN 0 ELSE 1 END AS b FROM points),
+s AS (SELECT *, SUM(b) OVER (PARTITION BY session_id ORDER BY frame) AS g FROM c),
+f AS (SELECT session_id, frame AS at_frame, LAG(frame, 10) OVER w IS NOT NULL AS smooth, LAG(frame, 5) OVER w AS mid, x, y, z, {_online("x")} AS sx, {_online("y")} AS sy, {_online("z")} AS sz FROM s
+  WINDOW w AS (PARTITION BY session_id, g ORDER BY frame))
+SELECT session_id, at_frame, smooth, CASE WHEN smooth THEN mid ELSE at_frame END AS frame, ROUND(CASE WHEN smooth THEN sx ELSE x END, 6) AS x, ROUND(CASE WHEN smooth THEN sy ELSE y END, 6) AS y,
+  ROUND(CASE WHEN smooth THEN GREATEST(sz, 0) ELSE z END, 6) AS z FROM f""")
+def _(spark, sf):
+    rows = table(spark, sf, "points").select("session_id", "frame", "t", "x", "y", "z")
+    t = I.drained(I.in_order(I.replayed(rows, "t"), KEYS, S.smoothing()), "smooth")
+    return t.select("session_id", "at_frame", "smooth", "frame", *[r(c).alias(c) for c in "xyz"])
+
+
+def live_chain(stream, context_s=None):
+    """Points with camera columns to crossings and judged landings: three stateful operators in one plan."""
+    t = I.in_order(stream, KEYS, S.motion())
+    t = I.in_order(t, KEYS, S.landings(), None)
+    return I.in_order(t, KEYS, S.acceptance(context_s=context_s), None)
+
+
+@query("x5_live_chain")
+def _(spark, sf):
+    t = I.drained(live_chain(I.replayed(ball_rows(spark, sf), "t")), "chain")
+    return t.drop("event_time").withColumns({c: r(c) for c in ("t", "x", "y", "z", "confidence")})
+
+
+_RALLIES_SQL = """c AS (SELECT p.*, LAG(y) OVER w AS py, CASE WHEN frame - LAG(frame) OVER w <= {pause} THEN 0 ELSE 1 END AS b FROM points p WINDOW w AS (PARTITION BY session_id ORDER BY frame)),
+s AS (SELECT *, SUM(b) OVER (PARTITION BY session_id ORDER BY frame) AS g, COALESCE((py < 0 AND y >= 0) OR (py >= 0 AND y < 0), FALSE) AS cr FROM c),
+f AS (SELECT *, MIN(CASE WHEN cr THEN frame END) OVER (PARTITION BY session_id, g) AS st FROM s),
+ra AS (SELECT f.session_id, ROW_NUMBER() OVER (PARTITION BY f.session_id ORDER BY st) AS rally, st AS start_frame, MAX(f.frame) AS end_frame, COUNT(*) FILTER (cr) AS strokes, COUNT(e.frame) AS bounces, MAX(f.t) - MIN(f.t) AS s
+  FROM f LEFT JOIN gt_events e ON e.session_id = f.session_id AND e.frame = f.frame WHERE f.frame >= st GROUP BY f.session_id, st)"""
+
+
+def live_rallies(spark, sf, files=4, timeout=3.0):
+    return I.in_order(I.replayed(rally_rows(spark, sf), "t", files), KEYS, S.crossing_rallies(timeout))
+
+
+@query("x6_stream_rallies", f"WITH {_RALLIES_SQL.format(pause=75)} SELECT session_id, rally, start_frame, end_frame, strokes, bounces FROM ra")
+def _(spark, sf):
+    return I.drained(live_rallies(spark, sf), "rallies").select("session_id", "rally", "start_frame", "end_frame", "strokes", "bounces")
+
+
+def fusion_frames(stream, delay="1 second"):
+    """One row a frame with both cameras' columns (null where a camera saw nothing) and the triangulated point.
+
+    The frame's rows meet in an aggregation by frame and event time, closed by the watermark: a full outer join of any number of cameras.
+    """
+    seen = lambda side: F.first(F.when(F.col("side") == side, F.struct(F.col("world_x").alias("x"), F.col("world_y").alias("y"), F.col("pixel_y").alias("py"), F.col("blob_sum").alias("conf"))), ignorenulls=True).alias(side)
+    g = stream.withWatermark(I.AT, delay).groupBy("session_id", "frame", I.AT).agg(seen("a"), seen("b"))
+    g = g.select("session_id", "frame", I.AT, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("x", "y", "py", "conf")])
+    return triangulated(g, "a", "b", CAM_A, CAM_B)
+
+
+def fused(spark, sf, files=4):
+    rows = camera_rows(spark, sf).withColumn("t", F.col("frame") / 25)
+    return I.in_order(fusion_frames(I.replayed(rows, "t", files)), KEYS, S.fusion(), None)
+
+
+@query("x8_fusion_modes", FUSION_SQL)
+def _(spark, sf):
+    t = I.drained(fused(spark, sf), "fused").where("kind = 'mode'")
+    return t.select("session_id", "frame", "mode", r("x", 5).alias("x"), r("z", 5).alias("z"))
+
+
+@query("x8_fusion_stream")
+def _(spark, sf):
+    t = I.drained(fused(spark, sf), "fused").where("kind <> 'mode'")
+    return t.drop("event_time", "seq").withColumns({c: r(c, 5) for c in ("x", "y", "z", "confidence")})
+
+
+@query("x13_stream_reports", f"""WITH {_RALLIES_SQL.format(pause=37)},
+t AS (SELECT session_id, rally AS rallies, SUM(strokes) OVER w AS strokes, SUM(bounces) OVER w AS bounces, SUM(s) OVER w AS play_s FROM ra WINDOW w AS (PARTITION BY session_id ORDER BY rally))
+SELECT session_id, rallies, CAST(strokes AS BIGINT) AS strokes, CAST(bounces AS BIGINT) AS bounces, ROUND(play_s, 6) AS play_s FROM t WHERE rallies % 2 = 0""")
+def _(spark, sf):
+    return RP.reports(live_rallies(spark, sf, timeout=1.5), every=2).withColumn("play_s", r("play_s"))
