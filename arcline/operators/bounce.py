@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .fold import fold
+from .cooldown import first_wins, last_better, lowest_in_group
 from .motion import KEYS, RALLY
 from .ordered import neighbour, windowed
 
@@ -32,21 +32,7 @@ def low_points(rally_rows: DataFrame, max_row_gap: int = 26) -> DataFrame:
 
 def lowest_per_group(cand: DataFrame, keys: list[str], span: int = DEDUP_FRAMES) -> DataFrame:
     """Groups start at a row and take all rows within ``span`` frames of it; keep the lowest."""
-
-    def emit(g):
-        return [tuple(g[1:])] if g else []
-
-    def step(state, row):
-        g = state["g"]
-        if g and row.frame - g[0] <= span:
-            if row.z < g[4]:
-                state["g"] = [g[0], int(row.frame), float(row.x), float(row.y), float(row.z)]
-            return []
-        state["g"] = [int(row.frame), int(row.frame), float(row.x), float(row.y), float(row.z)]
-        return emit(g)
-
-    return fold(cand.select(*keys, "frame", "x", "y", "z"), keys, "frame", {"g": None}, step,
-                "frame long, x double, y double, z double", flush=lambda s: emit(s["g"]))
+    return lowest_in_group(cand.select(*keys, "frame", "x", "y", "z"), keys, span, "z")
 
 
 def drop_rolling(cand: DataFrame, keys: list[str], roll_z: float = ROLL_Z, gap: int = ROLL_GAP) -> DataFrame:
@@ -139,21 +125,7 @@ def robust_minima(rally_rows: DataFrame, z_max: float = 0.5, rise: float = 0.05,
 
     t = windowed(row_index(rally_rows, keys, "frame"), keys, "idx", build, look, look).where("_hit")
 
-    def emit(g):
-        return [tuple(g)] if g else []
-
-    def step(state, row):
-        g = state["g"]
-        cur = [int(row.idx), int(row.frame), float(row.x), float(row.y), float(row.z)]
-        if g and cur[0] - g[0] < merge:
-            if cur[4] < g[4]:
-                state["g"] = cur
-            return []
-        state["g"] = cur
-        return emit(g)
-
-    return fold(t.select(*keys, "idx", "frame", "x", "y", "z"), keys, "idx", {"g": None}, step,
-                "idx long, frame long, x double, y double, z double", flush=lambda s: emit(s["g"]))
+    return last_better(t.select(*keys, "idx", "frame", "x", "y", "z"), keys, merge, -F.col("z"), "idx")
 
 
 def _split_ratio(frames, zs, halves):
@@ -231,7 +203,6 @@ def hybrid_bounces(points: DataFrame) -> DataFrame:
 def hybrid_bounces_live(points: DataFrame, cooldown: int = 12) -> DataFrame:
     """Online detector: wider V, first one wins until the cooldown has passed, landing moved to
     the lowest row within four rows."""
-    from .peaks import first_wins
     from .smooth import in_segments
 
     c = first_wins(hybrid_signals(points, 8, (4, 6, 8), 0.8, 5, 17, 3.0, 8, 8), KEYS, cooldown)

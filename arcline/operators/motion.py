@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..court import COURT, FPS
 from ..functions.geometry import hypot
 from ..session import cut_lineage
-from .fold import fold
+from .cooldown import last_better
 from .ordered import BLK, gap_break, local_segments, neighbour, running, segments, upper_median, windowed
 from .predicates import clean_conditions
 
@@ -150,27 +150,10 @@ def net_crossings(points: DataFrame, fps: float = FPS, side_rows: int = 3, verif
 
 
 def keep_last_better(cand: DataFrame, min_gap: int, score: Column, schema: str, keys: list[str] | None = None) -> DataFrame:
-    """Sequential suppression: a row closer than ``min_gap`` to the last kept one replaces it
-    only with a higher score. Candidate rows only, chunk-parallel."""
+    """Sequential suppression: a row closer than ``min_gap`` to the last kept one replaces it only with a higher score."""
     keys = keys or KEYS
     cols = [f.split()[0] for f in schema.split(", ")]
-
-    def emit(kept):
-        return [(kept[0], *kept[2:])] if kept else []
-
-    def step(state, row):
-        cur = [row.frame, row.rank_score, *[getattr(row, c) for c in cols]]
-        cur = [v.item() if hasattr(v, "item") else v for v in cur]
-        last = state["last"]
-        if last and cur[0] - last[0] < min_gap:
-            if cur[1] > last[1]:
-                state["last"] = cur
-            return []
-        state["last"] = cur
-        return emit(last)
-
-    rows = cand.select(*keys, "frame", *cols, score.alias("rank_score"))
-    return fold(rows, keys, "frame", {"last": None}, step, f"frame long, {schema}", flush=lambda s: emit(s["last"]))
+    return last_better(cand.select(*keys, "frame", *cols, score.cast("double").alias("rank_score")), keys, min_gap, F.col("rank_score")).select(*keys, "frame", *cols)
 
 
 def crossings_twopoint(points: DataFrame, max_gap: int = 5, fps: float = FPS) -> DataFrame:

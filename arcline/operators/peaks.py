@@ -125,21 +125,6 @@ def smooth3(df: DataFrame, keys: Sequence[str], col: str, name: str, order: str
         F.coalesce(F.lag(col).over(w), F.col(col)) + F.col(col) + F.coalesce(F.lead(col).over(w), F.col(col))) / 3), 1, 1)
 
 
-def first_wins(cand: DataFrame, keys: Sequence[str], gap: int, order: str = "frame") -> DataFrame:
-    """Keep a row only when the last kept one is at least ``gap`` away."""
-    from .fold import fold
-
-    def step(state, row):
-        f = int(row.f)
-        if state["f"] is not None and f - state["f"] < gap:
-            return []
-        state["f"] = f
-        return [(f,)]
-
-    kept = fold(cand.select(*keys, F.col(order).cast("long").alias("f")).distinct(), keys, "f", {"f": None}, step, "kept long")
-    return cand.join(kept.withColumnRenamed("kept", order), [*keys, order], "left_semi")
-
-
 def peak_positions(values: list[float], distance: int, prominence: float) -> list[int]:
     """Peaks of a short list (one detector's buffer): same rules as ``find_peaks``."""
     runs, i = [], 0

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..court import COURT
 from ..functions.geometry import hypot
+from .cooldown import first_wins
 from .joins import band_join
 from .ordered import segments, windowed
-from .peaks import find_peaks, first_wins, suppress_by_score
+from .peaks import find_peaks, suppress_by_score
 
 KEYS = ["session_id"]
 
