@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hypot
+from ..session import cut_lineage
+from .groups import linked_groups
 from .joins import match_one_to_one
 from .ordered import segments, windowed
 from .stats import prf, quantiles, ratio, with_quantiles
@@ -203,16 +205,30 @@ def dead_ball_report(det: DataFrame, truth: DataFrame, threshold: float = 30.0,
 
 
 def static_clusters(cands: DataFrame, cell: float = 25.0, min_frames: int = 30) -> DataFrame:
-    """Pixel cells seen in many distinct frames, with their mean position.
+    """Places seen in many distinct frames: (session, camera, cx, cy of the first cell, cells, frames, x, y).
 
-    Distinct frames come from the (frame, cell) pre-aggregate, so a busy cell never meets in one task.
+    Positions are counted by pixel cells. A cell with a quarter of ``min_frames`` (a ball on a corner has one of four)
+    and every cell that touches it with a mean position at most ``cell`` away are one place. Distinct frames come
+    from the (frame, cell) pre-aggregate, so a busy cell never meets in one task.
     """
+    cam = ["session_id", "camera"]
     cx, cy = F.floor(F.col("pixel_x") / cell).cast("long"), F.floor(F.col("pixel_y") / cell).cast("long")
-    per = cands.groupBy("session_id", "camera", cx.alias("cx"), cy.alias("cy"), "frame").agg(
-        F.sum("pixel_x").alias("sx"), F.sum("pixel_y").alias("sy"), F.count("*").alias("n"))
-    c = per.groupBy("session_id", "camera", "cx", "cy").agg(
-        F.count("*").alias("frames"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
-    return c.where(F.col("frames") >= min_frames)
+    per = cut_lineage(cands.groupBy(*cam, cx.alias("cx"), cy.alias("cy"), "frame").agg(F.sum("pixel_x").alias("sx"), F.sum("pixel_y").alias("sy"), F.count("*").alias("n")))
+    c = per.groupBy(*cam, "cx", "cy").agg(F.count("*").alias("frames"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
+    c = cut_lineage(c.withColumn("core", F.col("frames") >= -(-min_frames // 4)))
+    # a cell meets the four neighbours that follow it; the other four meet it
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("d")
+    a = c.select(*cam, F.struct("cx", "cy").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("core").alias("acore"), "cx", "cy", ahead)
+    a = a.select(*cam, "a", "ax", "ay", "acore", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    links = a.join(c, [*cam, "cx", "cy"]).where((F.col("acore") | F.col("core")) & (hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= cell))
+    group = linked_groups(links.select(*cam, "a", F.struct("cx", "cy").alias("b")), cam)
+    group = group.select(*cam, F.col("node.cx").alias("cx"), F.col("node.cy").alias("cy"), "label")
+    lone = c.select(*cam, "cx", "cy").join(group, [*cam, "cx", "cy"], "left").withColumn("label", F.coalesce("label", F.struct("cx", "cy")))
+    rows = per.join(lone, [*cam, "cx", "cy"]).groupBy(*cam, "label", "frame").agg(F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum("n").alias("n"))
+    out = rows.groupBy(*cam, "label").agg(F.count("*").alias("frames"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
+    cells = lone.groupBy(*cam, "label").agg(F.count("*").alias("cells"))
+    out = out.join(cells, [*cam, "label"]).where(F.col("frames") >= min_frames)
+    return out.select(*cam, "label.cx", "label.cy", "cells", "frames", "x", "y")
 
 
 def penalised_top1(cands: DataFrame, clusters: DataFrame, radius: float = 30.0, cell: float = 25.0, penalty: float = 0.5) -> DataFrame:

@@ -205,16 +205,23 @@ def _(spark, sf):
     return rounded(E.dead_ball_report(table(spark, sf, "det66"), table(spark, sf, "gt_px"), max_spread=300.0), "dead_rate")
 
 
-_CL = """cl AS (SELECT session_id, camera, CAST(FLOOR(pixel_x / 25) AS BIGINT) AS cx, CAST(FLOOR(pixel_y / 25) AS BIGINT) AS cy, COUNT(DISTINCT frame) AS frames, AVG(pixel_x) AS x, AVG(pixel_y) AS y
-  FROM cands GROUP BY 1, 2, 3, 4 HAVING COUNT(DISTINCT frame) >= 5)"""
-
-
-@query("a23_static_clusters", f"WITH {_CL} SELECT session_id, camera, cx, cy, frames, ROUND(x, 5) AS x, ROUND(y, 5) AS y FROM cl")
+_CL = """pc AS (SELECT *, CAST(FLOOR(pixel_x / 25) AS BIGINT) AS cx, CAST(FLOOR(pixel_y / 25) AS BIGINT) AS cy FROM cands),
+ce AS (SELECT session_id, camera, cx, cy, AVG(pixel_x) AS x, AVG(pixel_y) AS y, COUNT(DISTINCT frame) >= 2 AS core FROM pc GROUP BY 1, 2, 3, 4),
+li AS (SELECT a.session_id, a.camera, a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS by_ FROM ce a JOIN ce b ON a.session_id = b.session_id AND a.camera = b.camera AND (a.core OR b.core)
+  AND ABS(a.cx - b.cx) <= 1 AND ABS(a.cy - b.cy) <= 1 AND SQRT((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 25),
+re AS (SELECT session_id, camera, cx, cy, cx * 1000000 + cy AS label FROM ce
+  UNION SELECT re.session_id, re.camera, li.bx, li.by_, re.label FROM re JOIN li ON li.session_id = re.session_id AND li.camera = re.camera AND li.ax = re.cx AND li.ay = re.cy),
+lb AS (SELECT session_id, camera, cx, cy, MIN(label) AS label FROM re GROUP BY 1, 2, 3, 4),
+cl AS (SELECT l.session_id, l.camera, MIN(label) // 1000000 AS cx, MIN(label) % 1000000 AS cy, COUNT(DISTINCT l.cx * 1000000 + l.cy) AS cells, COUNT(DISTINCT frame) AS frames, AVG(pixel_x) AS x, AVG(pixel_y) AS y
+  FROM lb l JOIN pc ON pc.session_id = l.session_id AND pc.camera = l.camera AND pc.cx = l.cx AND pc.cy = l.cy GROUP BY l.session_id, l.camera, label HAVING COUNT(DISTINCT frame) >= 5)"""
+
+
+@query("a23_static_clusters", f"WITH RECURSIVE {_CL} SELECT session_id, camera, cx, cy, cells, frames, ROUND(x, 5) AS x, ROUND(y, 5) AS y FROM cl")
 def _(spark, sf):
     return rounded(E.static_clusters(table(spark, sf, "cands"), min_frames=5), "x", "y")
 
 
-@query("j23_static_penalty", f"""WITH {_CL},
+@query("j23_static_penalty", f"""WITH RECURSIVE {_CL},
 s AS (SELECT c.*, CAST((event_id * 7 + rank * 3) % 10 AS DOUBLE) / 10 - CASE WHEN EXISTS (SELECT 1 FROM cl WHERE cl.session_id = c.session_id AND cl.camera = c.camera
   AND SQRT((c.pixel_x-cl.x)*(c.pixel_x-cl.x) + (c.pixel_y-cl.y)*(c.pixel_y-cl.y)) <= 30) THEN 0.5 ELSE 0 END AS score FROM cands c)
 SELECT session_id, camera, frame, rank, ROUND(score, 5) AS score FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id, camera, frame ORDER BY score DESC, rank) = 1""")
