@@ -6,6 +6,8 @@ bordered blocks are exact; recursive filters run as chunked folds.
 
 from __future__ import annotations
 
+import math
+import statistics
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hypot
 from . import ordered
 from .fold import fold
-from .ordered import BLK, local_segments, neighbour, running, windowed
+from .ordered import BLK, local_segments, neighbour, row_index, running, windowed
 from .stats import quantiles
 
 CAM = ["session_id", "camera"]
@@ -253,15 +255,23 @@ def median_outliers(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CAM,
     return keep.unionByName(again)
 
 
+def _with_options(top: DataFrame, cands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the few candidates of their frame in order of rank."""
+    c = cands.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", *XY))).alias("cands"))
+    return top.join(c, [*keys, "frame"], "left")
+
+
+def _options(row) -> list[tuple[float, float]]:
+    return [(float(k["pixel_x"]), float(k["pixel_y"])) for k in (row.cands if row.cands is not None else [])]
+
+
 def velocity_outliers(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CAM, max_v: float = 200.0) -> DataFrame:
-    """Replace or drop rows that jump away from both neighbours while those agree.
+    """Rows that jump away from both neighbours while those agree take the candidate nearest to the middle of the two, if near, or go.
 
-    The previous row is the already corrected one, so this is a fold; each row carries its own
-    next row and its few candidates.
+    The row before is the corrected one (the last that stayed), so this is a fold; each row carries its own next row.
     """
     nxt = neighbour(top.select(*keys, "frame", *XY), keys, "frame", next={"nx": (None, F.struct("frame", *XY))})
-    c = cands.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", *XY))).alias("cands"))
-    rows = nxt.join(c, [*keys, "frame"], "left")
+    rows = _with_options(nxt, cands, keys)
 
     def gone(a, b):
         return ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 / max(abs(a[0] - b[0]), 1)
@@ -271,60 +281,116 @@ def velocity_outliers(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CA
         p, n = state["p"], row.nx
         if p is not None and n is not None:
             n = [int(n["frame"]), float(n["pixel_x"]), float(n["pixel_y"])]
-            if gone(cur, p) > max_v and gone(n, cur) > max_v and gone(n, p) <= max_v:
-                w = (cur[0] - p[0]) / (n[0] - p[0])
-                mid = [cur[0], p[1] + w * (n[1] - p[1]), p[2] + w * (n[2] - p[2])]
-                ok = [[cur[0], float(k["pixel_x"]), float(k["pixel_y"])] for k in (row.cands if row.cands is not None else [])]
-                ok = [k for k in ok if gone(k, p) <= max_v and gone(n, k) <= max_v]
-                if not ok:
+            if gone(cur, p) > max_v and gone(n, cur) > max_v and gone(n, p) < max_v:
+                mid = (p[1] + n[1]) / 2, (p[2] + n[2]) / 2
+                best = min(_options(row), key=lambda k: math.hypot(k[0] - mid[0], k[1] - mid[1]), default=None)
+                if best is None or math.hypot(best[0] - mid[0], best[1] - mid[1]) >= max_v:
                     return []
-                cur = min(ok, key=lambda k: (k[1] - mid[1]) ** 2 + (k[2] - mid[2]) ** 2)
+                cur = [cur[0], *best]
         state["p"] = cur
         return [tuple(cur)]
 
     return fold(rows, keys, "frame", {"p": None}, step, "frame long, pixel_x double, pixel_y double")
 
 
-def reselect_by_trend(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CAM, rows: int = 3, closer_by: float = 15.0, look: int = 10) -> DataFrame:
-    """Swap a row for the candidate nearest to the line through the last corrected rows."""
-    c = cands.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", *XY))).alias("cands"))
-    joined = top.select(*keys, "frame", *XY).join(c, [*keys, "frame"], "left")
+def reselect_by_anchors(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CAM, near: float = 5.0, closer_by: float = 15.0, look: int = 15, pair: int = 10) -> DataFrame:
+    """Swap a row for a candidate clearly nearer to where the anchors around it point.
 
-    def step(state, row):
-        cur = [int(row.frame), float(row.pixel_x), float(row.pixel_y)]
-        past = [p for p in state["p"] if cur[0] - p[0] <= look]
-        if len(past) >= 2:
-            a, b = past[-2], past[-1]
-            k = (cur[0] - b[0]) / (b[0] - a[0])
-            guess = [b[1] + k * (b[1] - a[1]), b[2] + k * (b[2] - a[2])]
-            dist = lambda q: ((q[1] - guess[0]) ** 2 + (q[2] - guess[1]) ** 2) ** 0.5
-            opts = [[cur[0], float(q["pixel_x"]), float(q["pixel_y"])] for q in (row.cands if row.cands is not None else [])]
-            best = min(opts, key=dist, default=cur)
-            if dist(best) < dist(cur) - closer_by:
-                cur = best
-        state["p"] = [*past, cur][-rows:]
-        return [tuple(cur)]
+    Anchors are rows with a candidate within ``near`` pixels. Between two anchors the place is interpolated; with
+    anchors on one side only it follows the last two of them, or stays at the only one. Anchors before a row are read
+    as corrected, those after it as they came: the corrected ones are the fold's memory, the others a window ahead.
+    """
+    t = _with_options(top.select(*keys, "frame", *XY), cands, keys)
+    close = F.exists(F.coalesce("cands", F.array()), lambda c: hypot(c["pixel_x"] - F.col("pixel_x"), c["pixel_y"] - F.col("pixel_y")) < near)
+    t = row_index(t.withColumn("anchor", F.coalesce(close, F.lit(False))), keys, "frame")
+    reach = look + pair - 2
+    ahead = F.when(F.col("anchor"), F.struct("idx", "frame", *XY))
+    t = windowed(t, keys, "idx", lambda t, w: t.withColumn("next", F.collect_list(ahead).over(w.rowsBetween(1, reach))), 0, reach)
+
+    def along(a, b, f):
+        """Through a and b (frame, x, y) to frame f; a alone if there is no b."""
+        if b is None:
+            return a[1:]
+        d = max(abs(a[0] - b[0]), 1)
+        return [a[k] + (a[k] - b[k]) / d * abs(f - a[0]) for k in (1, 2)]
 
-    return fold(joined, keys, "frame", {"p": []}, step, "frame long, pixel_x double, pixel_y double")
+    def step(state, row):
+        i, f, cur = int(row.idx), int(row.frame), [float(row.pixel_x), float(row.pixel_y)]
+        past = [p for p in state["p"] if p[0] >= i - look - pair]
+        p = past[-1] if past and past[-1][0] >= i - look else None
+        p2 = past[-2] if p and len(past) > 1 and past[-2][0] >= p[0] - pair else None
+        nxt = [[int(k["idx"]), int(k["frame"]), float(k["pixel_x"]), float(k["pixel_y"])] for k in row.next]
+        n = nxt[0] if nxt and nxt[0][0] < i + look else None
+        n2 = nxt[1] if n and len(nxt) > 1 and nxt[1][0] < n[0] + pair else None
+        if p or n:
+            if p and n:
+                w = (f - p[1]) / max(n[1] - p[1], 1)
+                guess = [p[k] * (1 - w) + n[k] * w for k in (2, 3)]
+            else:
+                guess = along(p[1:], p2 and p2[1:], f) if p else along(n[1:], n2 and n2[1:], f)
+            dist = lambda q: math.hypot(q[0] - guess[0], q[1] - guess[1])
+            here = dist(cur)
+            best = min(_options(row), key=dist, default=None)
+            if here >= closer_by and best and dist(best) < here - closer_by:
+                cur = list(best)
+        state["p"] = [*past, [i, f, *cur]] if row.anchor else past
+        return [(f, *cur)]
+
+    return fold(t, keys, "idx", {"p": []}, step, "frame long, pixel_x double, pixel_y double")
+
+
+def reselect_by_sides(top: DataFrame, cands: DataFrame, keys: Sequence[str] = CAM, half: int = 5, closer_by: float = 20.0) -> DataFrame:
+    """Swap a row for a candidate nearer to the median of the steadiest of three sides: rows before, rows after, both.
+
+    Sides hold up to ``half`` rows and three times as many frames; the one of least variance counts (the first of
+    equal ones). Rows before are read as corrected, rows after as they came. A candidate must win by ``closer_by``
+    over the best so far.
+    """
+    t = _with_options(top.select(*keys, "frame", *XY), cands, keys)
+    t = row_index(t, keys, "frame")
+    t = windowed(t, keys, "idx", lambda t, w: t.withColumn("next", F.collect_list(F.struct("frame", *XY)).over(w.rowsBetween(1, half))), 0, half)
 
+    def spread_of(ps):
+        return sum(statistics.pvariance([p[k] for p in ps]) for k in (1, 2))
 
-def pick_by_proximity(cands: DataFrame, keys: Sequence[str] = CAM, near: float = 0.7, gap: int = 5, scale: float = 200.0) -> DataFrame:
-    """One candidate per frame: proximity to the last pick and confidence, confidence alone after a gap."""
-    c = cands.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", *XY, "blob_sum"))).alias("cands"))
+    def step(state, row):
+        f, cur = int(row.frame), (float(row.pixel_x), float(row.pixel_y))
+        before = [p for p in state["p"] if f - p[0] <= 3 * half]
+        after = [(int(k["frame"]), float(k["pixel_x"]), float(k["pixel_y"])) for k in row.next]
+        after = [p for p in after if p[0] - f <= 3 * half]
+        sides = [s for s in (before, after, [*before, *after]) if len(s) >= 2]
+        if sides:
+            side = min(sides, key=spread_of)
+            mid = [statistics.median([p[k] for p in side]) for k in (1, 2)]
+            best = math.hypot(cur[0] - mid[0], cur[1] - mid[1])
+            for c in _options(row):
+                d = math.hypot(c[0] - mid[0], c[1] - mid[1])
+                if d < best - closer_by:
+                    best, cur = d, c
+        state["p"] = [*state["p"], [f, *cur]][-half:]
+        return [(f, *cur)]
+
+    return fold(t, keys, "idx", {"p": []}, step, "frame long, pixel_x double, pixel_y double")
+
+
+def pick_by_proximity(cands: DataFrame, keys: Sequence[str] = CAM, speed: float = 80.0, gap: int = 5, near: float = 0.7, conf: str = "conf") -> DataFrame:
+    """One candidate a frame: how near it is to the last pick, against the reach of ``speed`` pixels a frame, and its confidence.
+
+    Without a pick in the last ``gap`` frames the first ranked one is taken.
+    """
+    c = cands.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", *XY, F.col(conf).cast("double").alias("conf")))).alias("cands"))
 
     def step(state, row):
         f, last = int(row.frame), state["p"]
-        top = max(float(k["blob_sum"]) for k in row.cands) or 1.0
-        live = last is not None and f - last[0] <= gap
+        best = row.cands[0]
+        if last is not None and f - last[0] <= gap:
+            reach = speed * (f - last[0])
 
-        def score(k):
-            s = float(k["blob_sum"]) / top
-            if not live:
-                return s
-            d = ((k["pixel_x"] - last[1]) ** 2 + (k["pixel_y"] - last[2]) ** 2) ** 0.5
-            return near * max(0.0, 1 - d / scale) + (1 - near) * s
+            def score(k):
+                d = math.hypot(k["pixel_x"] - last[1], k["pixel_y"] - last[2])
+                return near * (1.0 - d / reach if d <= reach else 0.0) + (1 - near) * k["conf"]
 
-        best = max(row.cands, key=lambda k: (score(k), -k["rank"]))
+            best = max(row.cands, key=lambda k: (score(k), -k["rank"]))
         state["p"] = [f, float(best["pixel_x"]), float(best["pixel_y"])]
         return [(f, int(best["rank"]), *state["p"][1:])]
 

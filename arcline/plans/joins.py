@@ -125,8 +125,9 @@ def _(spark, sf):
 WITH sa AS (SELECT session_id, frame, AVG(pixel_x) OVER (PARTITION BY session_id ORDER BY frame RANGE BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS v FROM det66),
 sb AS (SELECT session_id, frame, AVG(pixel_x) OVER (PARTITION BY session_id ORDER BY frame RANGE BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS v FROM det68),
 c AS (SELECT sa.session_id, l.k AS lag, COUNT(*) AS n, CORR(sa.v, sb.v) AS c FROM sa CROSS JOIN (SELECT UNNEST(RANGE(-200, 201)) AS k) l
-  JOIN sb ON sb.session_id = sa.session_id AND sb.frame = sa.frame - l.k GROUP BY sa.session_id, l.k HAVING COUNT(*) >= 100)
-SELECT session_id, lag AS best_lag, n, ROUND(c, 5) AS corr FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ROUND(c, 9) DESC, lag) = 1""")
+  JOIN sb ON sb.session_id = sa.session_id AND sb.frame = sa.frame - l.k GROUP BY sa.session_id, l.k HAVING COUNT(*) >= 100),
+m AS (SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ROUND(c, 9) DESC, lag) = 1)
+SELECT s.session_id, lag AS best_lag, n, ROUND(c, 5) AS corr FROM (SELECT DISTINCT session_id FROM sa) s LEFT JOIN m ON m.session_id = s.session_id""")
 def _(spark, sf):
     a, b = (t.select("session_id", "frame", F.col("pixel_x").alias("v")) for t in _ab(spark, sf))
     return AL.best_lag(AL.moving_mean(a, 10, 9), AL.moving_mean(b, 10, 9)).select("session_id", "best_lag", "n", r("corr", 5).alias("corr"))

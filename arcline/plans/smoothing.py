@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hypot
+from ..operators import compare as C
 from ..operators import smooth as S
 from ..operators.stats import quantiles
 from .fixtures import CAM_A, CAM_B, table
@@ -172,14 +173,77 @@ def _(spark, sf):
     return out(S.median_outliers(table(spark, sf, "det"), table(spark, sf, "cands"), max_px=100.0), "origin")
 
 
-@query("w41_velocity_outliers")
+# top picks of which every seventh is a decoy, each with the candidates of its frame and the rows after it
+_MIXED = """tp AS (SELECT * FROM cands WHERE rank = CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END),
+ks AS (SELECT session_id, camera, frame, LIST({{'x': pixel_x, 'y': pixel_y}} ORDER BY rank) AS cs FROM cands GROUP BY session_id, camera, frame),
+t AS (SELECT tp.session_id, tp.camera, tp.frame, tp.pixel_x AS x, tp.pixel_y AS y, cs, ROW_NUMBER() OVER w AS i,
+  LIST({{'f': tp.frame, 'x': tp.pixel_x, 'y': tp.pixel_y, 'i': 0}}) OVER (w ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS nx
+  FROM tp JOIN ks ON ks.session_id = tp.session_id AND ks.camera = tp.camera AND ks.frame = tp.frame WINDOW w AS (PARTITION BY tp.session_id, tp.camera ORDER BY tp.frame))"""
+
+
+def mixed(spark, sf):
+    """Top picks of which every seventh is a decoy."""
+    return table(spark, sf, "cands").where(F.col("rank") == F.when(F.col("event_id") % 7 == 3, 1).otherwise(0)).select("session_id", "camera", "frame", "pixel_x", "pixel_y")
+
+
+def _d(a, b):
+    return f"SQRT(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"
+
+
+@query("w41_velocity_outliers", f"""WITH RECURSIVE {_MIXED.format(ahead=1)},
+s AS (SELECT DISTINCT session_id, camera, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS STRUCT(x DOUBLE, y DOUBLE)) AS got, CAST(NULL AS STRUCT(f BIGINT, x DOUBLE, y DOUBLE)) AS p FROM t
+  UNION ALL SELECT session_id, camera, i, frame, got, CASE WHEN got IS NULL THEN p ELSE {{'f': frame, 'x': got.x, 'y': got.y}} END FROM (
+    SELECT *, CASE WHEN NOT bad THEN {{'x': x, 'y': y}} WHEN {_d('best', 'mid')} < 40 THEN best END AS got FROM (
+      SELECT *, LIST_REDUCE(cs, lambda acc, opt: CASE WHEN {_d('opt', 'mid')} < {_d('acc', 'mid')} THEN opt ELSE acc END) AS best FROM (
+        SELECT t.*, s.p, {{'x': (s.p.x + nx[1].x) / 2, 'y': (s.p.y + nx[1].y) / 2}} AS mid,
+          COALESCE({_d('t', 's.p')} / (t.frame - s.p.f) > 40 AND {_d('t', 'nx[1]')} / (nx[1].f - t.frame) > 40 AND {_d('s.p', 'nx[1]')} / (nx[1].f - s.p.f) < 40, FALSE) AS bad
+        FROM s JOIN t ON t.session_id = s.session_id AND t.camera = s.camera AND t.i = s.i + 1) a) b) c)
+SELECT session_id, camera, frame, ROUND(got.x, 5) AS px, ROUND(got.y, 5) AS py FROM s WHERE got IS NOT NULL""")
 def _(spark, sf):
-    return out(S.velocity_outliers(table(spark, sf, "det"), table(spark, sf, "cands"), max_v=40.0))
+    return out(S.velocity_outliers(mixed(spark, sf), table(spark, sf, "cands"), max_v=40.0))
+
+
+@query("w42_anchor_reselection", f"""WITH RECURSIVE {_MIXED.format(ahead=23)},
+an AS (SELECT session_id, camera, frame, i, x, y, cs, LIST_BOOL_OR(LIST_TRANSFORM(cs, lambda c: {_d('c', 't')} < 5)) AS anchor FROM t),
+u AS (SELECT *, LIST({{'i': i, 'f': frame, 'x': x, 'y': y}}) FILTER (anchor) OVER (PARTITION BY session_id, camera ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 23 FOLLOWING) AS nx FROM an),
+s AS (SELECT DISTINCT session_id, camera, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS STRUCT(x DOUBLE, y DOUBLE)) AS got, CAST([] AS STRUCT(i BIGINT, f BIGINT, x DOUBLE, y DOUBLE)[]) AS ps FROM t
+  UNION ALL SELECT session_id, camera, i, frame, got, CASE WHEN anchor THEN LIST_APPEND(ps, {{'i': i, 'f': frame, 'x': got.x, 'y': got.y}})[-26:] ELSE ps END FROM (
+    SELECT *, CASE WHEN g IS NOT NULL AND {_d('b', 'g')} >= 15 AND {_d('best', 'g')} < {_d('b', 'g')} - 15 THEN best ELSE {{'x': x, 'y': y}} END AS got FROM (
+      SELECT *, LIST_REDUCE(cs, lambda acc, opt: CASE WHEN {_d('opt', 'g')} < {_d('acc', 'g')} THEN opt ELSE acc END) AS best FROM (
+        SELECT *, CASE WHEN p IS NOT NULL AND n IS NOT NULL THEN {{'x': p.x * (1 - w) + n.x * w, 'y': p.y * (1 - w) + n.y * w}}
+          WHEN p IS NOT NULL AND p2 IS NOT NULL THEN {{'x': p.x + (p.x - p2.x) / (p.f - p2.f) * (frame - p.f), 'y': p.y + (p.y - p2.y) / (p.f - p2.f) * (frame - p.f)}} WHEN p IS NOT NULL THEN {{'x': p.x, 'y': p.y}}
+          WHEN n IS NOT NULL AND n2 IS NOT NULL THEN {{'x': n.x + (n2.x - n.x) / (n2.f - n.f) * (frame - n.f), 'y': n.y + (n2.y - n.y) / (n2.f - n.f) * (frame - n.f)}} WHEN n IS NOT NULL THEN {{'x': n.x, 'y': n.y}} END AS g FROM (
+          SELECT *, CAST(frame - p.f AS DOUBLE) / (n.f - p.f) AS w, CASE WHEN ps[-2].i >= p.i - 10 THEN ps[-2] END AS p2, CASE WHEN nx[2].i < n.i + 10 THEN nx[2] END AS n2 FROM (
+            SELECT u.*, LIST_FILTER(s.ps, lambda e: e.i >= u.i - 25) AS ps, CASE WHEN s.ps[-1].i >= u.i - 15 THEN s.ps[-1] END AS p, CASE WHEN nx[1].i < u.i + 15 THEN nx[1] END AS n
+            FROM s JOIN u ON u.session_id = s.session_id AND u.camera = s.camera AND u.i = s.i + 1) a) b) c) b) d)
+SELECT session_id, camera, frame, ROUND(got.x, 5) AS px, ROUND(got.y, 5) AS py FROM s WHERE got IS NOT NULL""")
+def _(spark, sf):
+    return out(S.reselect_by_anchors(mixed(spark, sf), table(spark, sf, "cands")))
+
+
+def _xy(side, k):
+    return f"LIST_TRANSFORM({side}, lambda e: e.{k})"
+
+
+def _var(side):
+    return f"CASE WHEN LEN({side}) >= 2 THEN LIST_VAR_POP({_xy(side, 'x')}) + LIST_VAR_POP({_xy(side, 'y')}) END"
+
 
+_SIDE = "CASE WHEN va IS NULL THEN NULL WHEN vp IS NOT NULL AND (vn IS NULL OR vp <= vn) AND vp <= va THEN bp WHEN vn IS NOT NULL AND vn <= va THEN bn ELSE LIST_CONCAT(bp, bn) END"
 
-@query("w42_trend_reselection")
+
+@query("w42_side_reselection", f"""WITH RECURSIVE {_MIXED.format(ahead=5)},
+s AS (SELECT DISTINCT session_id, camera, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS STRUCT(x DOUBLE, y DOUBLE)) AS got, CAST([] AS STRUCT(f BIGINT, x DOUBLE, y DOUBLE, i INTEGER)[]) AS ps FROM t
+  UNION ALL SELECT session_id, camera, i, frame, got, LIST_APPEND(ps, {{'f': frame, 'x': got.x, 'y': got.y, 'i': 0}})[-5:] FROM (
+    SELECT *, CASE WHEN m.x IS NULL THEN {{'x': x, 'y': y}} ELSE LIST_REDUCE(LIST_PREPEND({{'x': x, 'y': y}}, cs), lambda acc, opt: CASE WHEN {_d('opt', 'm')} < {_d('acc', 'm')} - 20 THEN opt ELSE acc END) END AS got FROM (
+      SELECT *, {{'x': LIST_MEDIAN({_xy('side', 'x')}), 'y': LIST_MEDIAN({_xy('side', 'y')})}} AS m FROM (
+        SELECT *, {_SIDE} AS side FROM (
+          SELECT *, {_var('bp')} AS vp, {_var('bn')} AS vn, {_var('LIST_CONCAT(bp, bn)')} AS va FROM (
+            SELECT t.*, s.ps, LIST_FILTER(s.ps, lambda e: t.frame - e.f <= 15) AS bp, COALESCE(LIST_FILTER(t.nx, lambda e: e.f - t.frame <= 15), []) AS bn
+            FROM s JOIN t ON t.session_id = s.session_id AND t.camera = s.camera AND t.i = s.i + 1) a) b) c) d) e)
+SELECT session_id, camera, frame, ROUND(got.x, 5) AS px, ROUND(got.y, 5) AS py FROM s WHERE got IS NOT NULL""")
 def _(spark, sf):
-    return out(S.reselect_by_trend(table(spark, sf, "det"), table(spark, sf, "cands")))
+    return out(S.reselect_by_sides(mixed(spark, sf), table(spark, sf, "cands")))
 
 
 @query("w40_w43_clean_chain")
@@ -200,9 +264,20 @@ def _(spark, sf):
     return t.select("session_id", "camera", "frame", "rank", r("heat", 5).alias("heat"), "kept")
 
 
-@query("w45_pick_by_proximity")
+_NEAR = "CASE WHEN SQRT((c.x - s.p.x) * (c.x - s.p.x) + (c.y - s.p.y) * (c.y - s.p.y)) <= 80 * (u.frame - s.p.f) THEN 1 - SQRT((c.x - s.p.x) * (c.x - s.p.x) + (c.y - s.p.y) * (c.y - s.p.y)) / (80 * (u.frame - s.p.f)) ELSE 0 END * 0.7 + c.k * 0.3"
+
+
+@query("w45_pick_by_proximity", f"""WITH RECURSIVE u AS (SELECT session_id, camera, frame, cs, ROW_NUMBER() OVER (PARTITION BY session_id, camera ORDER BY frame) AS i FROM (
+    SELECT session_id, camera, frame, LIST({{'r': rank, 'x': pixel_x, 'y': pixel_y, 'k': CAST((event_id * 7 + rank * 3) % 10 AS DOUBLE) / 10}} ORDER BY rank) AS cs FROM cands GROUP BY session_id, camera, frame) a),
+s AS (SELECT session_id, camera, i, cs[1].r AS rank, {{'f': frame, 'x': cs[1].x, 'y': cs[1].y}} AS p FROM u WHERE i = 1
+  UNION ALL SELECT session_id, camera, i, b.r, {{'f': frame, 'x': b.x, 'y': b.y}} FROM (
+    SELECT u.session_id, u.camera, u.i, u.frame, CASE WHEN u.frame - s.p.f > 5 THEN {{'r': cs[1].r, 'x': cs[1].x, 'y': cs[1].y, 'k': CAST(0 AS DOUBLE)}}
+      ELSE LIST_REDUCE(LIST_TRANSFORM(cs, lambda c: {{'r': c.r, 'x': c.x, 'y': c.y, 'k': {_NEAR}}}), lambda a, c: CASE WHEN c.k > a.k THEN c ELSE a END) END AS b
+    FROM s JOIN u ON u.session_id = s.session_id AND u.camera = s.camera AND u.i = s.i + 1) q)
+SELECT session_id, camera, p.f AS frame, CAST(rank AS BIGINT) AS rank, ROUND(p.x, 5) AS px, ROUND(p.y, 5) AS py FROM s""")
 def _(spark, sf):
-    return out(S.pick_by_proximity(table(spark, sf, "cands")), "rank")
+    c = table(spark, sf, "cands").withColumn("conf", ((F.col("event_id") * 7 + F.col("rank") * 3) % 10).cast("double") / 10)
+    return out(S.pick_by_proximity(c), "rank")
 
 
 @query("p11_confidence_and_rays", _tri_sql("""SELECT d.session_id, d.frame, ROUND(d.pixel_x, 5) AS px FROM det66 d
@@ -219,3 +294,37 @@ def _(spark, sf):
     t = d.join(q, "session_id").where("blob_sum >= q25").join(rays, ["session_id", "frame"], "left")
     return t.where((F.col("ray_dist") < 2.0) | (F.col("ray_dist").isNull() & (F.col("blob_sum") >= F.col("q50")))).select(
         "session_id", "frame", r("pixel_x", 5).alias("px"))
+
+
+def _w39_sql() -> str:
+    def matrix(k):
+        return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in S.sg_matrix(k, 2)) + "]"
+
+    def sg(c, k):
+        base = f"GREATEST(LEAST(i - {k // 2}, n - {k}), 0)"
+        return f"LIST_SUM(LIST_TRANSFORM(RANGE(1, {k + 1}), lambda k: ({matrix(k)})[i - {base} + 1][k] * l{c}[{base} + k]))"
+
+    def med(c, h):
+        k = 2 * h + 1
+        return f"LIST_SORT(LIST_CONCAT(l{c}[GREATEST(i - {h - 1}, 1):i + {h + 1}], LIST_TRANSFORM(RANGE({k} - LEN(l{c}[GREATEST(i - {h - 1}, 1):i + {h + 1}])), lambda q: CAST(0 AS DOUBLE))))[{h + 1}]"
+
+    cols, parts = [], "SUM(u * {c}) OVER g / (n * (n * n - 1) / 12.0) * u"
+    for c in "xyz":
+        cols.append(f"ROUND(CASE WHEN n >= 5 THEN {med(c, 2)} WHEN n >= 3 THEN {med(c, 1)} ELSE {c} END, 5) AS {c}_median")
+        cols.append(f"ROUND(s{c}, 5) AS {c}_sg")
+        quad = "" if c != "z" else " + SUM((u * u - (n * n - 1) / 12.0) * z) OVER g / (n * (n * n - 1) / 12.0 * (n * n - 4) / 15.0) * (u * u - (n * n - 1) / 12.0)"
+        cols.append(f"ROUND(CASE WHEN n > {3 if c == 'z' else 2} THEN AVG({c}) OVER g + {parts.format(c=c)}{quad} ELSE {c} END, 5) AS {c}_poly")
+    smooth = ", ".join(f"CASE WHEN n >= 7 THEN {sg(c, 7)} WHEN n >= 5 THEN {sg(c, 5)} ELSE {c} END AS s{c}" for c in "xyz")
+    return f"""
+WITH a AS (SELECT session_id, frame, x, y, z, CASE WHEN frame - LAG(frame) OVER (PARTITION BY session_id ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS b FROM points),
+b AS (SELECT *, SUM(b) OVER (PARTITION BY session_id ORDER BY frame) AS st FROM a),
+c AS (SELECT *, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER g AS n, LIST(x) OVER v AS lx, LIST(y) OVER v AS ly, LIST(z) OVER v AS lz FROM b
+  WINDOW w AS (PARTITION BY session_id, st ORDER BY frame), g AS (PARTITION BY session_id, st), v AS (PARTITION BY session_id, st ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+d AS (SELECT *, CAST(i AS DOUBLE) - (n - 1) / 2.0 AS u, {smooth} FROM c)
+SELECT session_id, frame, {", ".join(cols)}, SQRT((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) > 0.5 AS outlier FROM d WINDOW g AS (PARTITION BY session_id, st)"""
+
+
+@query("w39_filter_comparison", _w39_sql())
+def _(spark, sf):
+    t = C.compare_filters(table(spark, sf, "points"))
+    return t.withColumns({c: r(c, 5) for c in t.columns if c not in ("session_id", "frame", "outlier")})
