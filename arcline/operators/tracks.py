@@ -13,6 +13,28 @@ from .stats import quantiles
 KEYS = ["session_id"]
 
 
+def link_frame(live: list[dict], f: int, blobs: list[tuple[float, float]], max_px: float, gap: int) -> tuple[list[dict], list[tuple]]:
+    """Tracks after frame ``f`` and (blob, x, y, track) of each blob: live tracks, longer ones first, take the blob nearest to their guess."""
+    live = sorted((t for t in live if f - t["p"][-1][0] <= gap), key=lambda t: -t["n"])
+    free, out = dict(enumerate(blobs)), []
+    for t in live:
+        a = t["p"][-1]
+        gx, gy = a[1], a[2]
+        if len(t["p"]) == 2:
+            o = t["p"][0]
+            k = (f - a[0]) / (a[0] - o[0])
+            gx, gy = gx + k * (a[1] - o[1]), gy + k * (a[2] - o[2])
+        near = min(free, key=lambda i: ((free[i][0] - gx) ** 2 + (free[i][1] - gy) ** 2, i), default=None)
+        if near is not None and ((free[near][0] - gx) ** 2 + (free[near][1] - gy) ** 2) ** 0.5 < max_px:
+            x, y = free.pop(near)
+            t["p"], t["n"] = [a, [f, x, y]], t["n"] + 1
+            out.append((near, x, y, t["id"]))
+    for i, (x, y) in free.items():
+        live.append({"id": f"{f}-{i}", "n": 1, "p": [[f, x, y]]})
+        out.append((i, x, y, f"{f}-{i}"))
+    return live, out
+
+
 def link_blobs(cands: DataFrame, max_px: float = 80.0, gap: int = 3, min_rows: int = 10) -> DataFrame:
     """Greedy nearest linking with a velocity guess; longer live tracks choose first.
 
@@ -23,27 +45,8 @@ def link_blobs(cands: DataFrame, max_px: float = 80.0, gap: int = 3, min_rows: i
 
     def step(state, row):
         f = int(row.frame)
-        blobs = [(float(b["pixel_x"]), float(b["pixel_y"])) for b in row.blobs]
-        live = [t for t in state["live"] if f - t["p"][-1][0] <= gap]
-        live.sort(key=lambda t: -t["n"])
-        free, out = dict(enumerate(blobs)), []
-        for t in live:
-            a = t["p"][-1]
-            gx, gy = a[1], a[2]
-            if len(t["p"]) == 2:
-                o = t["p"][0]
-                k = (f - a[0]) / (a[0] - o[0])
-                gx, gy = gx + k * (a[1] - o[1]), gy + k * (a[2] - o[2])
-            near = min(free, key=lambda i: ((free[i][0] - gx) ** 2 + (free[i][1] - gy) ** 2, i), default=None)
-            if near is not None and ((free[near][0] - gx) ** 2 + (free[near][1] - gy) ** 2) ** 0.5 < max_px:
-                x, y = free.pop(near)
-                t["p"], t["n"] = [a, [f, x, y]], t["n"] + 1
-                out.append((f, x, y, t["id"]))
-        for i, (x, y) in free.items():
-            live.append({"id": f"{f}-{i}", "n": 1, "p": [[f, x, y]]})
-            out.append((f, x, y, f"{f}-{i}"))
-        state["live"] = live
-        return out
+        state["live"], out = link_frame(state["live"], f, [(float(b["pixel_x"]), float(b["pixel_y"])) for b in row.blobs], max_px, gap)
+        return [(f, x, y, track) for _, x, y, track in out]
 
     t = fold(rows, keys, "frame", {"live": []}, step, "frame long, pixel_x double, pixel_y double, track string")
     long = t.groupBy(*keys, "track").agg(F.count("*").alias("length")).where(F.col("length") >= min_rows)

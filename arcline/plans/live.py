@@ -14,6 +14,7 @@ from ..streaming import inorder as I
 from ..streaming import live as L
 from ..streaming import reports as RP
 from ..streaming import rules as S
+from ..streaming import tracker as TK
 from .fixtures import _FROM, _T, CAM_A, CAM_B, table
 from .geometry import _tri_sql
 from .joins import FUSION_SQL, greedy_sql
@@ -230,3 +231,17 @@ t AS (SELECT session_id, rally AS rallies, SUM(strokes) OVER w AS strokes, SUM(b
 SELECT session_id, rallies, CAST(strokes AS BIGINT) AS strokes, CAST(bounces AS BIGINT) AS bounces, ROUND(play_s, 6) AS play_s FROM t WHERE rallies % 2 = 0""")
 def _(spark, sf):
     return RP.reports(live_rallies(spark, sf, timeout=1.5), every=2).withColumn("play_s", r("play_s"))
+
+
+def blob_rows(spark, sf):
+    return table(spark, sf, "cands").select("session_id", F.when(F.col("camera") == "cam66", "a").otherwise("b").alias("side"), "frame", "rank", (F.col("frame") / 25).alias("t"),
+                                            "pixel_x", "pixel_y", "world_x", "world_y")
+
+
+BLOCKS = {"block": 200, "max_px": 120.0, "min_rows": 5, "min_common": 4}
+
+
+@query("x10_block_tracks")
+def _(spark, sf):
+    t = I.drained(I.in_order(I.replayed(blob_rows(spark, sf), "t", 5), KEYS, TK.block_tracks(CAM_A, CAM_B, **BLOCKS)), "tracks")
+    return t.drop("event_time").withColumns({c: r(c, 5) for c in ("x", "y", "z", "ray_dist")})

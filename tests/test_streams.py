@@ -12,6 +12,7 @@ from arcline.plans import live as PL
 from arcline.streaming import inorder as I
 from arcline.streaming import reports as RP
 from arcline.streaming import rules as S
+from arcline.streaming import tracker as TK
 from tests.conftest import SF
 
 KEYS = ["session_id"]
@@ -182,3 +183,83 @@ def test_full_history_keeps_its_threshold_fresh():
             quad = q
             want.append((x.frame, limit))
     assert got == want
+
+
+def whole_buffer(rows, block, max_px, gap, min_rows, min_common, max_ray):
+    """The rule as one would write it down: at each block's end everything received is tracked and matched anew."""
+    from statistics import median
+
+    frames, out, seen, hits = sorted({r.frame for r in rows}), [], set(), set()
+    ends = [f for f, n in zip(frames, [*frames[1:], None]) if n is None or n // block > f // block]
+    for end in ends:
+        tracks = {}
+        for side in "ab":
+            live = []
+            for f in [f for f in frames if f <= end]:
+                here = [(r.pixel_x, r.pixel_y, r.world_x, r.world_y) for r in rows if r.frame == f and r.side == side]
+                if not here:
+                    continue
+                live = sorted([t for t in live if f - t[-1][0] <= gap], key=lambda t: -len(t))
+                left = list(enumerate(here))
+                for t in live:
+                    gx, gy = t[-1][1], t[-1][2]
+                    if len(t) > 1:
+                        k = (f - t[-1][0]) / (t[-1][0] - t[-2][0])
+                        gx, gy = gx + k * (t[-1][1] - t[-2][1]), gy + k * (t[-1][2] - t[-2][2])
+                    if left:
+                        d, i, b = min((((b[0] - gx) ** 2 + (b[1] - gy) ** 2) ** 0.5, i, b) for i, b in left)
+                        if d < max_px:
+                            left.remove((i, b))
+                            t.append((f, *b))
+                for i, b in left:
+                    live.append([(f, *b)])
+                    tracks[f"{side}{f}-{i}"] = live[-1]
+        best = None
+        for na, ta in tracks.items():
+            for nb, tb in tracks.items():
+                if na[0] != "a" or nb[0] != "b" or min(len(ta), len(tb)) < min_rows:
+                    continue
+                pb = {p[0]: p[3:] for p in tb}
+                pts = []
+                for p in ta:
+                    if p[0] in pb:
+                        xyz, ray = TK.crossing_point(p[3:], pb[p[0]], PL.CAM_A, PL.CAM_B)
+                        pts.append((p[0], *xyz, ray))
+                if len(pts) < min_common or median(p[4] for p in pts) >= max_ray or sum(0.05 <= p[3] <= 5 for p in pts) * 2 <= len(pts):
+                    continue
+                if best is None or (-len(pts), na, nb) < best[0]:
+                    best = ((-len(pts), na, nb), pts)
+        if best:
+            out += [("point", *p) for p in best[1] if p[0] not in seen]
+            seen |= {p[0] for p in best[1]}
+            lands = [h for h in TK.landings_of(best[1]) if h[0] not in hits]
+            out += [("landing", *h, None) for h in lands]
+            hits |= {h[0] for h in lands}
+    return out
+
+
+@pytest.mark.parametrize("files", [5])
+def test_block_tracks_equal_the_whole_buffer(spark, files):
+    """Five blocks and more; the state at the end holds what is open only."""
+    cut = {"block": 60, "max_px": 120.0, "gap": 3, "min_rows": 5, "min_common": 4, "max_ray": 1.0}
+    rows = PL.blob_rows(spark, SF).where("session_id = 0 and frame < 400")
+    rule = TK.block_tracks(PL.CAM_A, PL.CAM_B, **cut)
+    plain = rows_of(rows, "frame", "side", "rank")
+    want = whole_buffer(plain, **cut)
+    assert len(want) > 20
+    got = I.drained(I.in_order(I.replayed(rows, "t", files), KEYS, rule), "tracks").collect()
+    kind = namedtuple("Row", T.StructType.fromDDL(rule.schema).names)
+    same(got, [kind(*t) for t in want], kind._fields)
+    state, sizes = json.loads(json.dumps(rule.init)), []
+    for r in plain:
+        rule.step(state, r)
+        sizes.append(len(json.dumps(state)))
+    assert max(sizes[len(sizes) // 2:]) < 2 * max(sizes[: len(sizes) // 2])
+
+
+def test_lines_of_sight_meet_as_in_columns(spark):
+    d = [(1.0, 2.0, 1.5, 1.8), (0.0, -9.0, 3.0, 9.0), (4.0, 11.0, -4.0, -11.0)]
+    df = spark.createDataFrame(d, "a_x double, a_y double, b_x double, b_y double")
+    for r in PL.triangulated(df.select(*[F.col(c).alias(c) for c in df.columns], *[F.col(c).alias(f"k_{c}") for c in df.columns]), "a", "b", PL.CAM_A, PL.CAM_B).collect():
+        p, ray = TK.crossing_point((r.k_a_x, r.k_a_y), (r.k_b_x, r.k_b_y), PL.CAM_A, PL.CAM_B)
+        assert max(abs(x - y) for x, y in zip([*p, ray], [r.x, r.y, r.z, r.ray_dist])) < 1e-9
