@@ -35,3 +35,24 @@ def test_lags_over_blocks(spark, monkeypatch):
     res = {x.session_id: x for x in AL.best_lag(da, db, 60).collect()}
     assert res[1].best_lag == best and res[1].n == len(pairs[best]) and abs(res[1].corr - np.corrcoef(*zip(*pairs[best]))[0, 1]) < 1e-9
     assert res[2].best_lag is None
+
+
+def test_bounded_search_finds_the_grid_best(spark, monkeypatch):
+    """The best of all shifts of the grid, over small blocks; few shifts are left to measure."""
+    from pyspark.sql import functions as F
+
+    from arcline.plans.fixtures import CAM_A, CAM_B, table
+    from tests.conftest import SF
+
+    a, b = (table(spark, SF, n).where("frame < 300") for n in ("det66", "det68"))
+    b = b.withColumn("frame", F.col("frame") - 3)
+    cams, grid = table(spark, SF, "cams"), [round(-0.6 + 0.04 * i, 6) for i in range(31)]
+    full = {(r.session_id, r.dt): r.cost for r in AL.sweep_time_offsets(a, b, cams, CAM_A, CAM_B, grid).collect()}
+    monkeypatch.setattr(AL, "LAG_BLOCK", 64)
+    left = {tuple(r) for r in AL.likely_offsets(a, b, cams, CAM_A, CAM_B, grid).collect()}
+    for s in {k[0] for k in full}:
+        best = min((round(c, 9), dt) for (x, dt), c in full.items() if x == s)
+        assert (s, best[1]) in left and best[1] == 0.12
+    assert len(left) < len(full) / 3
+    got = {r.session_id: r for r in AL.best_time_offset(a, b, cams, CAM_A, CAM_B, half_range=0.6, steps=31).collect()}
+    assert all(r.cost <= full[s, 0.12] + 1e-9 and abs(r.dt - 0.12) <= 0.2 for s, r in got.items())
