@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def links(prints: DataFrame, radius: int = 4, segments: int | None = None, bucke
         own.append(F.struct(F.lit(i).alias("seg"), key.alias("key")))
         reach = s if i <= rest else s - 1
         if reach >= 0:
-            ball = F.array(*[F.lit(x).cast("long") for x in _ball(width, reach)])
+            ball = F.lit(np.array(_ball(width, reach), np.int64))
             probes.append(_around(ball, i, key))
     table = prints.select(F.col("fp").alias("b"), F.explode(F.array(*own)).alias("k")).select("k.*", "b")
     looks = prints.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("k")).select("k.*", "a")
@@ -104,7 +105,7 @@ def links(prints: DataFrame, radius: int = 4, segments: int | None = None, bucke
     plain = table.join(full, ["seg", "key"], "left_anti").join(looks, ["seg", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
     crowd = looks.join(full, ["seg", "key"], "left_semi").select(F.col("a").alias("fp"))
     crowd = crowd.unionByName(table.join(full, ["seg", "key"], "left_semi").select(F.col("b").alias("fp"))).distinct()
-    return plain.unionByName(ball_links(crowd, radius)).distinct()
+    return plain.unionByName(ball_links(settled(crowd), radius)).distinct()
 
 
 def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -115,12 +116,12 @@ def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     distances decide). Each value joins the smallest one at each point of its ball.
     """
     half = radius // 2
-    small = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in _ball(64, half)])
+    small = F.lit(np.array(_ball(64, half), np.uint64).view(np.int64))
     at = prints.select("fp", F.explode(F.transform(small, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
     low = at.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("z", "b")
     stars = at.join(low, "z").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     if radius % 2:
-        wide = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in _ball(64, half + 1)])
+        wide = F.lit(np.array(_ball(64, half + 1), np.uint64).view(np.int64))
         far = prints.select(F.col("fp").alias("a"), F.explode(F.transform(wide, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
         odd = far.join(low.unionByName(at.select("z", F.col("fp").alias("b"))).distinct(), "z")
         stars = stars.unionByName(odd.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
