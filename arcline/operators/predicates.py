@@ -56,6 +56,15 @@ def clean_counts(det: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(conf & bounds).alias("after_bounds"))
 
 
+def in_flight(max_ray: float = 5.0, margin: float = 3.0, z_max: float = 6.0, half: tuple[float, float] | None = None, court: CourtSpec = COURT) -> Column:
+    """A 3-D point that may be the ball in flight: near lines of sight, over the court and a margin, not too high.
+
+    ``half``: half width and length in place of the court with its margin.
+    """
+    x, y = half or (court.half_width + margin, court.half_length + margin)
+    return (F.col("ray_dist") <= max_ray) & (F.abs("x") <= x) & (F.abs("y") <= y) & (F.col("z") <= z_max)
+
+
 def plausible_points(max_ray: float = 1.5, z: tuple[float, float] = (-0.5, 8.0)) -> Column:
     return (F.col("ray_dist") <= max_ray) & F.col("z").between(*z)
 

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..court import COURT
+from . import ordered
 from .fold import fold
 from .motion import crossed
 from .ordered import neighbour, row_index, segments
 
 KEYS = ["session_id"]
+#: Cameras of a session at most.
+CAMERAS = 16
 
 
 def score_windows(rows: DataFrame, t0: DataFrame, length: float = 5.0, step: float = 0.5, min_rows: int = 5) -> DataFrame:
@@ -334,12 +337,21 @@ def landing_positions(points: DataFrame, a: DataFrame, b: DataFrame, rows: int =
 
 
 def single_camera_bounces(det: DataFrame, keep: int = 20, prominence: float = 15.0, rows: int = 5, cooldown: int = 8, jump: float = 150.0, gap: int = 3) -> DataFrame:
-    """Image-height peaks in the recent gap-free rows of one camera, confirmed by one later row."""
+    """Image-height peaks in the recent gap-free rows of each camera, confirmed by one later row; one cooldown for all cameras.
+
+    Cameras of one frame go by name.
+    """
     from .peaks import peak_positions
 
+    cams = [r[0] for r in det.select("camera").distinct().orderBy("camera").limit(CAMERAS + 1).collect()]
+    if len(cams) > CAMERAS:
+        raise ValueError(f"more than {CAMERAS} cameras")
+    place = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in cams]) if cams else F.array().cast("array<string>"), F.col("camera")) - 1, F.lit(0))
+    rows_in = det.select("session_id", (F.col("frame") * CAMERAS + place).alias("at"), "camera", "frame", "pixel_y", "world_x", "world_y")
+
     def step(state, row):
-        f, y = int(row.frame), float(row.pixel_y)
-        w = state["w"]
+        f, y, cam = int(row.frame), float(row.pixel_y), row.camera
+        w = state["w"].setdefault(cam, [])
         if w and abs(y - w[-1][1]) > jump * max(1, f - w[-1][0]):
             return []
         if w and f - w[-1][0] > gap:
@@ -354,10 +366,9 @@ def single_camera_bounces(det: DataFrame, keep: int = 20, prominence: float = 15
             return []
         p = w[max(hits)]
         state["f"] = p[0]
-        return [(p[0], p[2], p[3], "near" if p[3] < 0 else "far")]
+        return [(cam, p[0], p[2], p[3], "near" if p[3] < 0 else "far")]
 
-    return fold(det.select("session_id", "camera", "frame", "pixel_y", "world_x", "world_y"), ["session_id", "camera"], "frame",
-                {"w": [], "f": None}, step, "frame long, x double, y double, side string")
+    return fold(rows_in, KEYS, "at", {"w": {}, "f": None}, step, "camera string, frame long, x double, y double, side string", block=CAMERAS * ordered.BLOCK)
 
 
 def accepted_bounces(bounces: DataFrame, dup_s: float = 0.7, dup_m: float = 1.0, min_s: float = 0.4, min_m: float = 2.0) -> DataFrame:

@@ -118,13 +118,22 @@ def _(spark, sf):
     return t.select("session_id", "frame", F.coalesce(hit, F.lit(False)).alias("is_hit"))
 
 
-@query("p9_flight_mask", """
-WITH g AS (SELECT session_id, frame FROM points WHERE ray_dist <= 5 AND ABS(x) <= 5 AND ABS(y) <= 9 AND z <= 1.2),
+_FLIGHT = """
+WITH g AS (SELECT session_id, frame FROM points WHERE {gate}),
 d AS (SELECT DISTINCT session_id, frame FROM det),
 a AS (SELECT d.*, g.frame IS NOT NULL AS ok, (SELECT MAX(q.frame) FROM g q WHERE q.session_id = d.session_id AND q.frame < d.frame AND EXISTS (SELECT 1 FROM d e WHERE e.session_id = q.session_id AND e.frame = q.frame)) AS pg FROM d LEFT JOIN g ON g.session_id = d.session_id AND g.frame = d.frame),
-o AS (SELECT session_id, frame FROM a WHERE ok OR frame - pg <= 5 UNION SELECT session_id, UNNEST(RANGE(pg + 1, frame)) FROM a WHERE ok AND frame - pg <= 5) SELECT DISTINCT session_id, frame FROM o""")
+o AS (SELECT session_id, frame FROM a WHERE ok OR frame - pg <= 5 UNION SELECT session_id, UNNEST(RANGE(pg + 1, frame)) FROM a WHERE ok AND frame - pg <= 5) SELECT DISTINCT session_id, frame FROM o"""
+
+
+@query("p9_flight_mask", _FLIGHT.format(gate="ray_dist <= 1.7 AND ABS(x) <= 4.115 + 3 AND ABS(y) <= 11.885 + 3 AND z <= 6"))
+def _(spark, sf):
+    p = table(spark, sf, "points").where(P.in_flight(max_ray=1.7))
+    return M.flight_mask(table(spark, sf, "det").select("session_id", "frame").distinct(), p)
+
+
+@query("p9_flight_mask_narrow", _FLIGHT.format(gate="ray_dist <= 5 AND ABS(x) <= 5 AND ABS(y) <= 9 AND z <= 1.2"))
 def _(spark, sf):
-    p = table(spark, sf, "points").where((F.col("ray_dist") <= 5) & (F.abs("x") <= 5) & (F.abs("y") <= 9) & (F.col("z") <= 1.2))
+    p = table(spark, sf, "points").where(P.in_flight(half=(5.0, 9.0), z_max=1.2))
     return M.flight_mask(table(spark, sf, "det").select("session_id", "frame").distinct(), p)
 
 

@@ -179,3 +179,17 @@ def test_package_can_be_shipped(spark):
     ship(spark)
     name = [p for p in spark.sparkContext._python_includes if p.endswith("arcline.zip")]
     assert name and "arcline/operators/fold.py" in zipfile.ZipFile(f"{spark.sparkContext._jvm.org.apache.spark.SparkFiles.getRootDirectory()}/{name[0]}").namelist()
+
+
+def test_image_peaks_share_one_cooldown(spark):
+    """A peak of the second camera three frames after one of the first is none, in any blocks; alone it is one."""
+    top = lambda f, at: 600.0 - 12 * abs(f - at)
+    rows = [(1, "cam66", f, top(f, 6), 0.0, -3.0) for f in range(1, 16)] + [(s, "cam68", f, top(f, 9), 0.0, 3.0) for s in (1, 2) for f in range(1, 16)]
+    df = spark.createDataFrame(rows, "session_id long, camera string, frame long, pixel_y double, world_x double, world_y double")
+    for block in (4, 65536):
+        was, ordered.BLOCK = ordered.BLOCK, block
+        try:
+            got = {(r.session_id, r.camera, r.frame) for r in R.single_camera_bounces(df).collect()}
+        finally:
+            ordered.BLOCK = was
+        assert got == {(1, "cam66", 6), (2, "cam68", 9)}
