@@ -51,19 +51,38 @@ def _(spark, sf):
     return L.run_to_table(L.activity_sessions(timed(stream(spark, sf, "points"))), "sessions")
 
 
-@query("x4_stream_crossings")
+_X4 = """
+WITH RECURSIVE q AS (SELECT session_id, frame, t, x, y, z, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame) AS i FROM points),
+s AS (SELECT session_id, i, frame, t, x, y, z, CAST([] AS DOUBLE[]) AS v, CAST(NULL AS DOUBLE) AS was FROM q WHERE i = 1
+  UNION ALL SELECT session_id, i, frame, t, x, y, z, CASE WHEN dt > 0.001 AND d / dt * 3.6 <= 280 THEN LIST_APPEND(v, d / dt * 3.6)[-5:] ELSE v END, was FROM (
+    SELECT q.*, s.v, s.y AS was, q.t - s.t AS dt, SQRT((q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z)) AS d FROM s JOIN q ON q.session_id = s.session_id AND q.i = s.i + 1) a)
+SELECT session_id, frame, CAST(ROUND_EVEN(LIST_MEDIAN(v), 0) AS BIGINT) AS speed_kmh, CASE WHEN y > was THEN 'near_to_far' ELSE 'far_to_near' END AS direction FROM s
+WHERE ((was < 0 AND y >= 0) OR (was > 0 AND y <= 0)) AND LEN(v) >= 2 AND LIST_MEDIAN(v) BETWEEN 30 AND 150"""
+
+
+@query("x4_stream_crossings", _X4)
 def _(spark, sf):
-    p = stream(spark, sf, "points").select("session_id", "frame", "t", "x", "y", "z")
-    return L.run_to_table(L.stateful(p, KEYS, "frame", L.CROSSING_STATE, L.crossing_step, L.CROSSING_SCHEMA), "crossings")
+    t = I.drained(I.in_order(I.replayed(ball_rows(spark, sf), "t"), KEYS, S.motion()), "crossings").where("kind = 'crossing'")
+    return t.select("session_id", "frame", F.col("speed").alias("speed_kmh"), "direction")
 
 
-@query("x4_batch_crossings")
+@query("x4_batch_crossings", _X4)
 def _(spark, sf):
     p = table(spark, sf, "points").select("session_id", "frame", "t", "x", "y", "z")
     return fold(p, KEYS, "frame", L.CROSSING_STATE, L.crossing_step, L.CROSSING_SCHEMA)
 
 
-@query("x2_x3_confidence_gate")
+_GATE = """
+s AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS DOUBLE[]) AS q, CAST([] AS DOUBLE[]) AS h, CAST(0 AS DOUBLE) AS th, CAST(NULL AS DOUBLE) AS conf, FALSE AS ok FROM j GROUP BY session_id
+  UNION ALL SELECT session_id, i, frame, CASE WHEN ok THEN quad ELSE q END, h, th, conf, ok FROM (SELECT *, NOT same AND conf >= th AS ok FROM (
+    SELECT *, CASE WHEN NOT same AND LEN(h) >= 50 AND LEN(h) % 50 = 0 THEN LIST_SORT(h)[CAST(FLOOR(LEN(h) * 0.2) AS BIGINT) + 1] ELSE th0 END AS th FROM (
+      SELECT j.session_id, j.i, j.frame, s.q, j.quad, j.conf, s.th AS th0, COALESCE(s.q = j.quad, FALSE) AS same, CASE WHEN COALESCE(s.q = j.quad, FALSE) THEN s.h ELSE LIST_APPEND(s.h, j.conf)[-500:] END AS h
+      FROM s JOIN j ON j.session_id = s.session_id AND j.i = s.i + 1) t) u) v)
+"""
+
+
+@query("x2_x3_confidence_gate", f"""WITH RECURSIVE j AS (SELECT a.session_id, a.frame, [a.pixel_x, a.pixel_y, b.pixel_x, b.pixel_y] AS quad, (a.blob_sum + b.blob_sum) / 2 AS conf, ROW_NUMBER() OVER (PARTITION BY a.session_id ORDER BY a.frame) AS i
+  FROM det66 a JOIN det68 b ON b.session_id = a.session_id AND b.frame = a.frame),{_GATE}SELECT session_id, frame, ROUND(conf, 6) AS conf, ROUND(th, 6) AS threshold FROM s WHERE ok""")
 def _(spark, sf):
     j = pair_frames(table(spark, sf, "det66"), table(spark, sf, "det68"))
     t = fold(j, KEYS, "frame", L.GATE_STATE, L.gate_step, L.GATE_SCHEMA)
@@ -137,13 +156,7 @@ def _(spark, sf):
 
 @query("x2_x3_stream_gate", greedy_sql(_DRIVER, _PARTNER, 2000, "nearest_unused", True, f"""
 , j AS (SELECT q.session_id, a.frame, [a.pixel_x, a.pixel_y, b.pixel_x, b.pixel_y] AS quad, (a.blob_sum + b.blob_sum) / 2 AS conf, ROW_NUMBER() OVER (PARTITION BY q.session_id ORDER BY a.frame) AS i
-  FROM ({_PAIRS}) q JOIN det66 a ON a.session_id = q.session_id AND a.frame * 40 = driver_at JOIN det68 b ON b.session_id = q.session_id AND b.frame * 40 + 13 = partner_at),
-s AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS DOUBLE[]) AS q, CAST([] AS DOUBLE[]) AS h, CAST(0 AS DOUBLE) AS th, CAST(NULL AS DOUBLE) AS conf, FALSE AS ok FROM j GROUP BY session_id
-  UNION ALL SELECT session_id, i, frame, CASE WHEN ok THEN quad ELSE q END, h, th, conf, ok FROM (SELECT *, NOT same AND conf >= th AS ok FROM (
-    SELECT *, CASE WHEN NOT same AND LEN(h) >= 50 AND LEN(h) % 50 = 0 THEN LIST_SORT(h)[CAST(FLOOR(LEN(h) * 0.2) AS BIGINT) + 1] ELSE th0 END AS th FROM (
-      SELECT j.session_id, j.i, j.frame, s.q, j.quad, j.conf, s.th AS th0, COALESCE(s.q = j.quad, FALSE) AS same, CASE WHEN COALESCE(s.q = j.quad, FALSE) THEN s.h ELSE LIST_APPEND(s.h, j.conf)[-500:] END AS h
-      FROM s JOIN j ON j.session_id = s.session_id AND j.i = s.i + 1) t) u) v)
-SELECT session_id, frame, ROUND(conf, 6) AS conf, ROUND(th, 6) AS threshold FROM s WHERE ok"""))
+  FROM ({_PAIRS}) q JOIN det66 a ON a.session_id = q.session_id AND a.frame * 40 = driver_at JOIN det68 b ON b.session_id = q.session_id AND b.frame * 40 + 13 = partner_at),{_GATE}SELECT session_id, frame, ROUND(conf, 6) AS conf, ROUND(th, 6) AS threshold FROM s WHERE ok"""))
 def _(spark, sf):
     t = I.drained(I.in_order(live_pairs(spark, sf), KEYS, S.gate(), None), "gated")
     return t.select("session_id", "frame", r("conf").alias("conf"), r("threshold").alias("threshold"))

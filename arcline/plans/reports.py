@@ -94,7 +94,21 @@ def _(spark, sf):
     return t.select("session_id", "frame", "source", r("land_x", 5).alias("land_x"))
 
 
-@query("w17_dip_bounces")
+@query("w17_dip_bounces", f"""WITH RECURSIVE {LAND.strip()},
+ld AS (SELECT session_id, frame, CASE WHEN ca IS NOT NULL AND (cb IS NULL OR ca >= cb) THEN 'cam66' WHEN cb IS NOT NULL THEN 'cam68' WHEN n > 0 THEN 'interpolated' ELSE '3d' END AS source,
+  CASE WHEN ca IS NOT NULL AND (cb IS NULL OR ca >= cb) THEN ax WHEN cb IS NOT NULL THEN bx WHEN n > 0 THEN sx / n ELSE x END AS land_x,
+  CASE WHEN ca IS NOT NULL AND (cb IS NULL OR ca >= cb) THEN ay WHEN cb IS NOT NULL THEN by_ WHEN n > 0 THEN sy / n ELSE y END AS land_y FROM (
+    SELECT *, COALESCE(SUM(ay) OVER p, 0) + COALESCE(SUM(by_) OVER p, 0) + COALESCE(SUM(ay) OVER q, 0) + COALESCE(SUM(by_) OVER q, 0) AS sy FROM lb
+    WINDOW p AS (PARTITION BY session_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY session_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) u),
+q AS (SELECT session_id, frame, z, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame) AS i FROM points),
+s AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS STRUCT(f BIGINT, z DOUBLE)[]) AS w, CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS hit, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS conf FROM q
+  UNION ALL SELECT session_id, i, frame, CASE WHEN yes THEN w[k + 1:] ELSE w END, CASE WHEN yes THEN frame ELSE seen END, CASE WHEN yes THEN w[k].f END, CASE WHEN yes THEN w[k].z END,
+    CASE WHEN yes THEN ROUND_EVEN(LEAST(1.0, 0.7 * LEAST(1.0, LEAST(w[k - 2].z, w[LEAST(LEN(w), k + 2)].z) - w[k].z) + 0.3 * LEAST(1.0, LEN(w) / 6.0)), 3) END FROM (
+    SELECT *, COALESCE(NOT wait AND k IS NOT NULL AND w[k].z <= 0.8 AND w[k].z <= LEAST(w[k - 2].z, w[k + 1].z) - 0.1, FALSE) AS yes FROM (
+      SELECT *, LEN(w) < 4 OR COALESCE(frame - seen < 5, FALSE) AS wait, LIST_SORT(LIST_TRANSFORM(LIST_FILTER(RANGE(3, LEN(w)), lambda m: w[m - 2].z >= w[m - 1].z - 0.15 AND w[m - 1].z >= w[m].z - 0.15 AND w[m].z <= w[m + 1].z + 0.15),
+        lambda m: {{'z': w[m].z, 'm': m}}))[1].m AS k FROM (
+        SELECT q.session_id, q.i, q.frame, s.seen, LIST_APPEND(s.w, {{'f': q.frame, 'z': q.z}})[-8:] AS w FROM s JOIN q ON q.session_id = s.session_id AND q.i = s.i + 1) a) b) c)
+SELECT s.session_id, hit AS frame, s.frame AS seen_at, ROUND(land_x, 5) AS x, ROUND(land_y, 5) AS y, ROUND(low, 5) AS z, conf AS confidence, source FROM s JOIN ld ON ld.session_id = s.session_id AND ld.frame = s.hit WHERE hit IS NOT NULL""")
 def _(spark, sf):
     p, d = table(spark, sf, "points"), table(spark, sf, "det")
     land = R.landing_positions(p, d.where("camera = 'cam66'"), d.where("camera = 'cam68'"))
@@ -106,12 +120,21 @@ def _(spark, sf):
     return rounded(R.single_camera_bounces(table(spark, sf, "det")), "x", "y")
 
 
-@query("w55_accepted_bounces")
+_W55 = """WITH RECURSIVE q AS (SELECT session_id, frame, t, x, y, CASE WHEN y < 0 THEN 'near' ELSE 'far' END AS half, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame) AS i FROM gt_events),
+s AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS STRUCT(t DOUBLE, x DOUBLE, y DOUBLE, half VARCHAR)[]) AS acc, CAST(NULL AS VARCHAR) AS verdict FROM q
+  UNION ALL SELECT session_id, i, frame, CASE WHEN verdict = 'accepted' THEN LIST_APPEND(acc, {'t': t, 'x': x, 'y': y, 'half': half})[-5:] ELSE acc END, verdict FROM (
+    SELECT q.*, s.acc, CASE WHEN LEN(LIST_FILTER(s.acc, lambda p: q.t - p.t BETWEEN 0 AND 0.7 AND SQRT((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 1)) > 0 THEN 'duplicate'
+      WHEN q.t - s.acc[-1].t >= 0 AND q.t - s.acc[-1].t < 0.4 AND s.acc[-1].half = q.half AND SQRT((q.x - s.acc[-1].x) * (q.x - s.acc[-1].x) + (q.y - s.acc[-1].y) * (q.y - s.acc[-1].y)) < 2 THEN 'f2_min_interval' ELSE 'accepted' END AS verdict
+    FROM s JOIN q ON q.session_id = s.session_id AND q.i = s.i + 1) a)
+"""
+
+
+@query("w55_accepted_bounces", _W55 + "SELECT session_id, frame, verdict FROM s WHERE verdict IS NOT NULL")
 def _(spark, sf):
     return R.accepted_bounces(table(spark, sf, "gt_events"))
 
 
-@query("a31_filter_reasons")
+@query("a31_filter_reasons", _W55 + "SELECT session_id, verdict, COUNT(*) AS n FROM s WHERE verdict IS NOT NULL GROUP BY session_id, verdict")
 def _(spark, sf):
     return R.accepted_bounces(table(spark, sf, "gt_events")).groupBy("session_id", "verdict").agg(F.count("*").alias("n"))
 
