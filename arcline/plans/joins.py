@@ -326,6 +326,16 @@ def _(spark, sf):
     return J.pair_frames(a, b, shift=3).select("session_id", "frame", r("a_y").alias("ay"), r("b_y").alias("by"))
 
 
-@query("j19_consume_crossing_once")
+@query("j19_consume_crossing_once", f"""WITH RECURSIVE nc AS ({NC}),
+u AS (SELECT session_id, frame, t, x, y, 1 AS kind FROM gt_events UNION ALL SELECT session_id, frame, NULL, NULL, NULL, 0 FROM nc),
+q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY frame, kind) AS i FROM u),
+s AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, CAST([] AS BIGINT[]) AS free, CAST([] AS STRUCT(t DOUBLE, x DOUBLE, y DOUBLE)[]) AS acc, CAST(NULL AS BIGINT) AS taken, CAST(NULL AS VARCHAR) AS verdict FROM q
+  UNION ALL SELECT session_id, i, frame, CASE WHEN kind = 0 THEN LIST_APPEND(fr, frame) WHEN verdict = 'accepted' THEN COALESCE(fr[:-2], []) ELSE fr END,
+    CASE WHEN verdict = 'accepted' THEN LIST_APPEND(acc, {{'t': t, 'x': x, 'y': y}})[-5:] ELSE acc END, CASE WHEN kind = 1 THEN fr[-1] END, verdict FROM (
+    SELECT q.*, LIST_FILTER(s.free, lambda c: q.frame - c < 75) AS fr, s.acc, CASE WHEN q.kind = 0 THEN NULL
+      WHEN LEN(LIST_FILTER(s.acc, lambda p: q.t - p.t BETWEEN 0 AND 0.7 AND SQRT((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 1)) > 0 THEN 'duplicate'
+      WHEN q.t - s.acc[-1].t >= 0 AND q.t - s.acc[-1].t < 0.4 AND (s.acc[-1].y < 0) = (q.y < 0) AND SQRT((q.x - s.acc[-1].x) * (q.x - s.acc[-1].x) + (q.y - s.acc[-1].y) * (q.y - s.acc[-1].y)) < 2 THEN 'f2_min_interval' ELSE 'accepted' END AS verdict
+    FROM s JOIN q ON q.session_id = s.session_id AND q.i = s.i + 1) a)
+SELECT session_id, frame, taken AS crossing_frame, verdict FROM s WHERE verdict IS NOT NULL""")
 def _(spark, sf):
     return AL.assign_crossings(table(spark, sf, "gt_events"), crossings(spark, sf), window=75)
