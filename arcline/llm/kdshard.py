@@ -34,10 +34,11 @@ def _scaled(c: str, low: str, high: str) -> Column:
 
 
 def _split_points(rows: DataFrame) -> DataFrame:
-    """(node, cut): rows of a node with key < cut go left; their bytes are as near below ``left`` as keys allow.
+    """(node, cut): rows of a node with key < cut go left; their bytes are as near to ``left`` as keys allow.
 
     ``rows`` has node, key, size and the node's left (bytes). The state of each node, the lower end of a bin
-    and the bytes below it, is a row of a table; each step sums the rows of the one bin that is open.
+    and the bytes below it, is a row of a table; each step meets just the rows of the one bin that is open, by
+    its number, and sums them by finer bins.
     """
     bits, state = COORD + TIE, None
     while bits > 0:
@@ -45,14 +46,16 @@ def _split_points(rows: DataFrame) -> DataFrame:
         if state is None:
             bins = rows.withColumn("low", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
         else:
-            bins = rows.select("node", "key", "size").join(state, "node").filter(F.shiftright(F.col("key") - F.col("low"), bits) == 0)
+            bins = rows.select("node", "key", "size", F.shiftright("key", bits).alias("open")).join(state.withColumn("open", F.shiftright("low", bits)), ["node", "open"])
         bins = bins.withColumn("bin", F.shiftright(F.col("key") - F.col("low"), rest)).groupBy("node", "bin").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("low").alias("low"), F.first("below").alias("below"))
         bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("node").orderBy("bin")) + F.col("below"))
         # the first bin that passes the goal holds the cut
         first = bins.filter(F.col("upto") > F.col("left")).groupBy("node").agg(F.min_by(F.struct("bin", "n", "upto", "left", "low"), "bin").alias("b"))
-        state = settled(first.select("node", F.col("b.left").alias("left"), (F.col("b.low") + F.shiftleft(F.col("b.bin"), rest)).alias("low"), (F.col("b.upto") - F.col("b.n")).alias("below")))
+        state = settled(first.select("node", F.col("b.left").alias("left"), (F.col("b.low") + F.shiftleft(F.col("b.bin"), rest)).alias("low"), (F.col("b.upto") - F.col("b.n")).alias("below"), F.col("b.n").alias("last")))
         bits = rest
-    return state.select("node", F.col("low").alias("cut"))
+    # the row at the median goes to the side that it leaves nearer to its goal
+    nearer = F.col("below") + F.col("last") - F.col("left") < F.col("left") - F.col("below")
+    return state.select("node", (F.col("low") + nearer.cast("long")).alias("cut"))
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text",
