@@ -164,12 +164,15 @@ def balance_classes(df: DataFrame, label: str, rest: str, factor: int = 5, order
     return t.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).drop("_k", "_share")
 
 
-def split_by_match(df: DataFrame, match: str, own: Column, val_pct: int = 20) -> DataFrame:
-    """Own recordings train; other matches go to validation by a stable hash, at least one."""
-    m = df.where(~own).select(match).distinct().withColumn("_h", F.pmod(F.xxhash64(F.col(match)), F.lit(100)))
-    low = m.agg(F.min("_h").alias("_low"))
-    m = m.join(low, F.lit(True)).withColumn("_v", (F.col("_h") < val_pct) | (F.col("_h") == F.col("_low")))
-    t = df.join(m.select(match, "_v"), match, "left")
+def split_by_match(df: DataFrame, match: str, own: Column, val_pct: int = 20, order: Column | None = None) -> DataFrame:
+    """Own recordings train; of the other matches ``val_pct`` percent (rounded down, one at least) validate.
+
+    Which ones is drawn by a stable hash of the match, or by ``order``.
+    """
+    m = df.where(~own).select(match).distinct()
+    count = max(1, m.count() * val_pct // 100)
+    drawn = m.orderBy(order if order is not None else F.xxhash64(match), match).limit(count).withColumn("_v", F.lit(True))
+    t = df.join(drawn, match, "left")
     return t.withColumn("part", F.when(F.coalesce("_v", F.lit(False)) & ~own, "val").otherwise("train")).drop("_v")
 
 

@@ -130,10 +130,28 @@ def _(spark, sf):
     return rounded(s, "precision", "recall", "f1", "error_mean", "error_median", "error_p95")
 
 
-@query("a15_method_ranking")
+RUNS = {"strict": (2, "nearest_unused", "truth"), "nearest": (5, "nearest_unused", "truth"), "by_detection": (5, "nearest_unused", "det"), "first_within": (5, "first_within", "truth")}
+
+
+def _runs_sql():
+    parts = []
+    for name, (tol, policy, driver) in RUNS.items():
+        one, two = ("gt_events", "det_events") if driver == "truth" else ("det_events", "gt_events")
+        g, d = ("tt", "pick") if driver == "truth" else ("pick", "tt")
+        pairs = greedy_sql(_DET.format(one), _DET.format(two), tol, policy, final=f"SELECT session_id, {g} AS gf, {d} AS df FROM g WHERE pick IS NOT NULL")
+        parts.append(f"SELECT '{name}' AS method, * FROM ({pairs}) q_{name}")
+    return " UNION ALL ".join(parts)
+
+
+@query("a15_method_ranking", f"""WITH pr AS ({_runs_sql()}),
+mt AS (SELECT pr.method, SQRT((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS error_m FROM pr JOIN gt_events a ON a.session_id = pr.session_id AND a.frame = pr.gf JOIN det_events b ON b.session_id = pr.session_id AND b.frame = pr.df),
+e AS (SELECT method, COUNT(*) AS matched, AVG(error_m) AS em, QUANTILE_CONT(error_m, 0.5) AS ed, LIST_SORT(LIST(error_m)) AS l FROM mt GROUP BY method),
+f AS (SELECT *, (SELECT COUNT(*) FROM gt_events) AS gt_count, (SELECT COUNT(*) FROM det_events) AS detected, l[LEAST(CAST(FLOOR(LEN(l) * 0.95) AS BIGINT), LEN(l) - 1) + 1] AS p95 FROM e)
+SELECT method, gt_count, detected, matched, gt_count - matched AS missed, detected - matched AS false_positives, ROUND(matched / detected, 4) AS precision, ROUND(matched / gt_count, 4) AS recall, ROUND(2.0 * matched / (detected + gt_count), 4) AS f1,
+  ROUND(em, 4) AS error_mean, ROUND(ed, 4) AS error_median, ROUND(p95, 4) AS error_p95, ROW_NUMBER() OVER (ORDER BY ROUND(2.0 * matched / (detected + gt_count), 4) DESC, ROUND(matched / gt_count, 4) DESC, method) AS rank FROM f""")
 def _(spark, sf):
     gt, det = table(spark, sf, "gt_events"), table(spark, sf, "det_events")
-    runs = {"strict": (2, "nearest_unused", "truth"), "nearest": (5, "nearest_unused", "truth"), "by_detection": (5, "nearest_unused", "det"), "first_within": (5, "first_within", "truth")}
+    runs = RUNS
     out = None
     for name, (tol, policy, driver) in runs.items():
         tag = lambda d: d.withColumn("method", F.lit(name))  # noqa: B023, E731

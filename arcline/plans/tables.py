@@ -304,9 +304,11 @@ def _(spark, sf):
     return t.select("session_id", "camera", "frame", F.explode(top).alias("c")).select("session_id", "camera", "frame", "c.rank", r("c.blob_sum", 5).alias("blob_sum"))
 
 
-@query("t7_match_split")
+@query("t7_match_split", """
+WITH m AS (SELECT DISTINCT session_id FROM points WHERE session_id <> 0), v AS (SELECT session_id FROM m QUALIFY ROW_NUMBER() OVER (ORDER BY session_id * 48271 % 101, session_id) <= GREATEST(1, (SELECT COUNT(*) FROM m) * 20 // 100))
+SELECT p.session_id, CASE WHEN v.session_id IS NULL THEN 'train' ELSE 'val' END AS part, COUNT(*) AS n FROM points p LEFT JOIN v ON v.session_id = p.session_id GROUP BY 1, 2""")
 def _(spark, sf):
-    t = FE.split_by_match(table(spark, sf, "points").select("session_id", "frame"), "session_id", F.col("session_id") == 0)
+    t = FE.split_by_match(table(spark, sf, "points").select("session_id", "frame"), "session_id", F.col("session_id") == 0, order=F.col("session_id") * 48271 % 101)
     return t.groupBy("session_id", "part").agg(F.count("*").alias("n"))
 
 
