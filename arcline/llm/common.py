@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
 
 
+#: Paths that ``settled`` wrote, by open ``alone``.
+_written: list[list[str]] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: short lineage, and nothing is computed twice.
 
@@ -29,9 +34,28 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The settled result of ``make``; the tables that were settled on the way to it are deleted."""
+    _written.append([])
+    try:
+        out = settled(make())
+    finally:
+        paths = _written.pop()
+    spark = out.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths[:-1]:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if _written:
+        _written[-1].append(paths[-1])
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from learning: crc32 of the id as text leaves 2 when divided by 4. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
