@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..court import COURT, GRAVITY
 from ..functions.geometry import hypot
+from ..session import cut_lineage
 from .ordered import neighbour, row_index, running
 from .stats import ratio
 
 COEF = ["ax", "bx", "az", "bz", "cz"]
+#: Rows of a group that robust fits are scored on at a time.
+CHUNK = 1024
 
 
 def _solve(s: list[Column], b: list[Column]) -> list[Column]:
@@ -95,30 +100,88 @@ def ransac_fits(points: DataFrame, by: Sequence[str], trials: int = 300, thresho
     agreement keep all rows.
 
     A trial's rows sit at four distinct hashed positions of the group, so drawing needs only the
-    group's row count; trials are a fixed parameter list and scored in one partial aggregate.
+    group's row count. Rows travel as chunks of ``CHUNK`` positions: a chunk gives the rows drawn
+    from it, and one array row of fits per group scores it. No table of rows by trials is made.
     """
     by = list(by)
-    idx = row_index(points.select(*by, "frame", "x", "y", "z", "ray_dist"), by, "frame")
+    cols = [*by, "frame", "x", "y", "z", "ray_dist"]
+    idx = cut_lineage(row_index(points.select(*cols), by, "frame"))
     n = idx.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = n.where("_n >= 4").select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    h = lambda k: F.pmod(F.xxhash64("trial", F.lit(k), *by), F.col("_n"))
-    picks = F.array_distinct(F.array(*[h(k) for k in range(12)]))
-    draws = draws.select(*by, "trial", F.explode(F.slice(picks, 1, 4)).alias("idx"))
-    sample = draws.join(idx, [*by, "idx"])
-    fits = parabola_fits(sample, [*by, "trial"], 4).where((F.col("az") < 0) & (F.col("speed_ms") * 3.6 <= max_kmh))
-    score = idx.join(fits.select(*by, "trial", *COEF), by).groupBy(*by, "trial").agg(F.count_if(fit_error(F.col("x"), F.col("y"), F.col("z")) < threshold).alias("hits"))
-    best = score.groupBy(*by).agg(F.max_by(F.struct("trial", "hits"), F.struct("hits", -F.col("trial"))).alias("b")).select(*by, "b.*")
+    chunk = F.floor(F.col("idx") / CHUNK)
+    rows = F.array_sort(F.collect_list(F.struct("idx", "x", "y", "z", "ray_dist")))
+    chunks = cut_lineage(idx.groupBy(*by, chunk.alias("_c")).agg(rows.alias("_p")).join(n.where("_n >= 4"), by))
+    h = lambda t, k: F.pmod(F.xxhash64(t, F.lit(k), *by), F.col("_n"))
+    picks = lambda t: F.slice(F.array_distinct(F.array(*[h(t, k) for k in range(12)])), 1, 4)
+    row_at = lambda i: F.element_at("_p", (i - F.col("_c") * CHUNK + 1).cast("int"))
+    own = lambda t: F.transform(F.filter(picks(t), lambda i: F.floor(i / CHUNK) == F.col("_c")), lambda i: F.struct(t.alias("trial"), row_at(i).alias("p")))
+    drawn = chunks.select(*by, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), own)).alias("_d"))
+    # at most four rows a trial meet here, however long the group is
+    drawn = drawn.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("_d"))).alias("_d"))
+    fits = drawn.select(*by, _trial_fits()("_d.trial", *[f"_d.p.{c}" for c in ("x", "y", "z", "ray_dist")]).alias("_f"))
+    sound = F.filter("_f", lambda f: (f["az"] < 0) & (f["speed_ms"] * 3.6 <= max_kmh))
+    fits = cut_lineage(fits.select(*by, sound.alias("_f")).where(F.size("_f") > 0))
+    hits = _trial_hits(threshold)(*[F.col(f"_p.{c}") for c in "xyz"], *[F.col(f"_f.{c}") for c in COEF])
+    score = chunks.join(fits, by).select(*by, F.posexplode(hits).alias("_at", "hits")).groupBy(*by, "_at").agg(F.sum("hits").alias("hits"))
+    best = score.groupBy(*by).agg(F.max(F.struct("hits", (-F.col("_at")).alias("first"))).alias("b")).select(*by, F.col("b.hits").alias("hits"), (-F.col("b.first")).alias("_at"))
     best = best.join(n, by).where(F.col("hits") >= F.greatest(F.lit(3), F.floor(F.col("_n") * min_ratio)))
-    chosen = fits.join(best.select(*by, "trial", "hits"), [*by, "trial"]).select(*by, *COEF, "hits")
-    first = residuals(idx, chosen, by).where(F.col("error") < threshold)
-    again = residuals(idx, parabola_fits(first, by), by).where(F.col("error") < threshold)
+    best = cut_lineage(best.join(fits, by).withColumn("_b", F.element_at("_f", F.col("_at") + 1)).select(*by, "hits", *[F.col(f"_b.{c}") for c in COEF]))
+    first = cut_lineage(residuals(idx, best, by).where(F.col("error") < threshold))
+    again = cut_lineage(residuals(idx, parabola_fits(first, by), by).where(F.col("error") < threshold))
     more = again.groupBy(*by).agg(F.count("*").alias("_m")).join(best.select(*by, "hits"), by).where(F.col("_m") > F.col("hits")).select(*by)
-    cols = [*by, "frame", "x", "y", "z", "ray_dist"]
     robust = again.join(more, by, "left_semi").select(*cols).unionByName(first.join(more, by, "left_anti").select(*cols))
     rest = idx.join(best.select(*by), by, "left_anti").select(*cols)
     return robust.unionByName(rest)
 
 
+def _trial_fits():
+    """``parabola_fits`` of each trial's four rows, which follow each other in row order; unsound ones are left out."""
+
+    def fits(t, *xyzr) -> list[dict]:
+        kinds, at, count = np.unique(np.asarray(t), return_index=True, return_counts=True)
+        kinds, at = kinds[count == 4], at[count == 4]
+        x, y, z, ray = (np.asarray(c, float)[at[:, None] + np.arange(4)] for c in xyzr)
+        my, w = y.mean(axis=1), 1 / np.maximum(ray, 0.01)
+        u = y - my[:, None]
+        s = [(u ** k * w).sum(axis=1) for k in range(5)]
+        bz = [(u ** k * w * z).sum(axis=1) for k in range(3)]
+        bx = [(u ** k * w * x).sum(axis=1) for k in range(2)]
+        with np.errstate(all="ignore"):
+            det = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
+            c0 = (bz[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (bz[1] * s[4] - s[3] * bz[2]) + s[2] * (bz[1] * s[3] - s[2] * bz[2])) / det
+            c1 = (s[0] * (bz[1] * s[4] - s[3] * bz[2]) - bz[0] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * bz[2] - bz[1] * s[2])) / det
+            az = (s[0] * (s[2] * bz[2] - s[3] * bz[1]) - s[1] * (s[1] * bz[2] - s[2] * bz[1]) + bz[0] * (s[1] * s[3] - s[2] * s[2])) / det
+            line = s[0] * s[2] - s[1] * s[1]
+            ax, mid = (s[0] * bx[1] - s[1] * bx[0]) / line, (s[2] * bx[0] - s[1] * bx[1]) / line
+            b, c = c1 - 2 * az * my, c0 - c1 * my + az * my * my
+            vy = np.clip(np.where(az < -1e-6, np.sqrt(GRAVITY / (-2 * az)), 25.0), 1.0, 80.0)
+            dz = 2 * az * y[:, 0] + b
+            speed = vy * np.sqrt(1 + ax * ax + dz * dz)
+            ok = (np.abs(det) > 1e-9 * np.abs(s[0] * s[2] * s[4])) & (line != 0) & np.isfinite(speed)
+        return [dict(zip(("trial", "ax", "bx", "az", "bz", "cz", "speed_ms"), v)) for v in zip(*(a[ok].tolist() for a in (kinds, ax, mid - ax * my, az, b, c, speed)))]
+
+    @F.pandas_udf("array<struct<trial: int, ax: double, bx: double, az: double, bz: double, cz: double, speed_ms: double>>")
+    def of(trial: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, ray_dist: pd.Series) -> pd.Series:
+        return pd.Series([fits(*row) for row in zip(trial, x, y, z, ray_dist)])
+
+    return of
+
+
+def _trial_hits(threshold: float):
+    """How many rows of a chunk are nearer than ``threshold`` to each fit."""
+
+    @F.pandas_udf("array<long>")
+    def hits(x: pd.Series, y: pd.Series, z: pd.Series, ax: pd.Series, bx: pd.Series, az: pd.Series, bz: pd.Series, cz: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(x, y, z, ax, bx, az, bz, cz):
+            px, py, pz, *fit = (np.asarray(c, float) for c in row)
+            ax_, bx_, az_, bz_, cz_ = (c[:, None] for c in fit)
+            dx, dz = ax_ * py + bx_ - px, az_ * py * py + bz_ * py + cz_ - pz
+            out.append((np.sqrt(dx * dx + dz * dz) < threshold).sum(axis=1))
+        return pd.Series(out)
+
+    return hits
+
+
 def landing(fits: DataFrame, start: Column, margin: float = 2.0) -> DataFrame:
     """Ground point of each fit: the root of Z(Y) = 0 on court that is furthest from ``start``."""
     disc = F.col("bz") * F.col("bz") - 4 * F.col("az") * F.col("cz")
