@@ -226,7 +226,8 @@ def strokes(rally_rows: DataFrame, bounces: DataFrame, robust: bool = False, tri
     rows = stroke_rows(rally_rows, bounces)
     if robust:
         rows = ransac_fits(rows, key, trials, min_ratio=0.5)
-    fits = parabola_fits(rows, key)
+    rows = cut_lineage(rows)
+    fits = cut_lineage(parabola_fits(rows, key))
     return landing(fit_quality(rows, fits, key), F.col("y_first"))
 
 
@@ -236,16 +237,17 @@ def best_split(rally_rows: DataFrame, candidates: DataFrame, gain: float = 0.05,
     Candidates per rally are few; each fits the rows before and after it.
     """
     key = ["session_id", "rally"]
-    rows = row_index(rally_rows, key, "frame")
-    whole = fit_quality(rows, parabola_fits(rows, key), key).select(*key, F.col("mean_error").alias("_one"), F.col("n").alias("_n"))
+    # rows and fits are read by several branches below; each would plan and compute its inputs again
+    rows = cut_lineage(row_index(rally_rows, key, "frame"))
+    whole = fit_quality(rows, cut_lineage(parabola_fits(rows, key)), key).select(*key, F.col("mean_error").alias("_one"), F.col("n").alias("_n"))
     c = candidates.select(*key, F.col("frame").alias("cut"))
     pos = rows.select(*key, F.col("frame").alias("cut"), F.col("idx").alias("at"))
-    c = c.join(pos, [*key, "cut"]).join(whole, key)
+    c = cut_lineage(c.join(pos, [*key, "cut"]).join(whole, key))
     near = c.where((F.col("at") >= min_rows) & (F.col("_n") - F.col("at") >= min_rows))
     parts = rows.join(near.select(*key, "cut", "at"), key)
-    two = parts.where(F.col("idx") <= F.col("at")).withColumn("part", F.lit(0)).unionByName(parts.where(F.col("idx") >= F.col("at")).withColumn("part", F.lit(1)))
+    two = cut_lineage(parts.where(F.col("idx") <= F.col("at")).withColumn("part", F.lit(0)).unionByName(parts.where(F.col("idx") >= F.col("at")).withColumn("part", F.lit(1))))
     pk = [*key, "cut", "part"]
-    q = fit_quality(two, parabola_fits(two, pk), pk).groupBy(*key, "cut").agg((F.sum(F.col("mean_error") * F.col("n")) / F.sum("n")).alias("_two"), F.count("*").alias("_k"))
+    q = fit_quality(two, cut_lineage(parabola_fits(two, pk)), pk).groupBy(*key, "cut").agg((F.sum(F.col("mean_error") * F.col("n")) / F.sum("n")).alias("_two"), F.count("*").alias("_k"))
     g = near.join(q.where("_k = 2"), [*key, "cut"]).withColumn("gain", F.col("_one") - F.col("_two"))
     best = g.groupBy(*key).agg(F.max_by(F.struct("cut", "gain"), F.struct("gain", -F.col("cut"))).alias("b")).where(F.col("b.gain") > gain).select(*key, "b.*")
     first = c.groupBy(*key).agg(F.min("cut").alias("_first"))

@@ -102,7 +102,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = cut_lineage(rallies(spark, sf))
     inl = cut_lineage(FT.ransac_fits(rows, KEY, trials=300))
-    cut = FT.best_split(inl, B.robust_minima(inl))
+    cut = cut_lineage(FT.best_split(inl, cut_lineage(B.robust_minima(inl))))
     s = FT.strokes(inl, cut)
     return rounded(FT.net_passage(s).select(*KEY, "stroke", "n", "speed_ms", "mean_error", "land_y", "net_kmh"), "speed_ms", "mean_error", "land_y", "net_kmh")
 
