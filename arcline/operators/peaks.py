@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .ordered import BLK, OWN, row_index, running, spread, windowed
 
+#: Rows that one call of the prominence check takes on average.
+ROWS = 50_000
+
 
 def suppress_by_score(cand: DataFrame, keys: Sequence[str], order: str, min_gap: int, score: str, rounds: int = 3) -> DataFrame:
     """Score-first suppression: take the best candidate, drop those nearer than ``min_gap``, repeat.
@@ -88,7 +91,10 @@ def find_peaks(df: DataFrame, keys: Sequence[str], value: str, distance: int = 1
 
 def _prominent(flags: DataFrame, keys: Sequence[str], prominence: float, reach: int) -> DataFrame:
     """1 where both sides fall by ``prominence`` before rising above the peak, 0 where not, 2 when
-    the look ended undecided inside the series."""
+    the look ended undecided inside the series.
+
+    A task takes many blocks at a time, about ``ROWS`` rows, as series may be a few rows long.
+    """
     part = [*keys, BLK]
     t = spread(flags, "idx", reach, reach, block=max(16 * reach, 1024))
     fields = [f for f in t.schema.fields if f.name in keys]
@@ -102,18 +108,19 @@ def _prominent(flags: DataFrame, keys: Sequence[str], prominence: float, reach:
         return 0 if len(over) or at_end else 2
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        v, idx = pdf["_v"].to_numpy(float), pdf["idx"].to_numpy()
+        pdf = pdf.sort_values([*part, "idx"], ignore_index=True)
+        v, idx, last = pdf["_v"].to_numpy(float), pdf["idx"].to_numpy(), pdf["_last"].to_numpy(bool)
+        block = pdf.groupby(part, sort=False, dropna=False).ngroup().to_numpy()
         at = np.flatnonzero(pdf["_pk"].notna().to_numpy() & pdf[OWN].to_numpy(bool))
-        starts, ends = idx[0] == 0, bool(pdf["_last"].iloc[-1])
-        res = [(side(v[:i][::-1], v[i], starts), side(v[i + 1:], v[i], ends)) for i in at]
-        ok = [0 if 0 in p else max(p) for p in res]
-        out = pd.DataFrame({"idx": idx[at], "_ok": np.array(ok, dtype="int32")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[schema.names]
-
-    return t.groupBy(*part).applyInPandas(judge, schema)
+        low, high = np.searchsorted(block, block[at]), np.searchsorted(block, block[at], side="right")
+        ok = []
+        for i, a, b in zip(at, low, high):
+            p = (side(v[a:i][::-1], v[i], idx[a] == 0), side(v[i + 1:b], v[i], bool(last[b - 1])))
+            ok.append(0 if 0 in p else max(p))
+        return pdf.loc[at, [*keys, "idx"]].assign(_ok=np.array(ok, dtype="int32"))[schema.names]
+
+    tasks = max(1, flags.count() // ROWS)
+    return t.withColumn("_task", F.pmod(F.xxhash64(*part), F.lit(tasks))).groupBy("_task").applyInPandas(judge, schema)
 
 
 def smooth3(df: DataFrame, keys: Sequence[str], col: str, name: str, order: str = "idx") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..court import COURT
 from ..functions.geometry import hypot
+from ..session import cut_lineage
 from .cooldown import first_wins
 from .joins import band_join
-from .ordered import segments, windowed
+from .ordered import row_index, segments, windowed
 from .peaks import find_peaks, suppress_by_score
 
 KEYS = ["session_id"]
@@ -25,8 +26,9 @@ def long_segments(df: DataFrame, gap: int = 3, min_rows: int = 5) -> DataFrame:
 def extrema_bounces(track: DataFrame, wy_prom: float = 0.5, py_prom: float = 8.0, rows: int = 5, cooldown: int = 8,
                     band: tuple[float, float] = (-9.885, 20.115), min_py: float = 100.0) -> DataFrame:
     """Landings from turning points of the ground y and maxima of the image y, first one wins."""
-    s = long_segments(track).withColumns({"_neg": -F.col("world_y"), "_wy": F.col("world_y")})
     seg = [*KEYS, "seg"]
+    s = long_segments(track).withColumns({"_neg": -F.col("world_y"), "_wy": F.col("world_y")})
+    s = cut_lineage(row_index(s, seg, "frame"))  # read for each kind of peak
     inside = (F.col("world_y") > band[0]) & (F.col("world_y") < band[1])
     parts = [
         find_peaks(s, seg, "_wy", rows, wy_prom).where(inside).withColumns({"_o": F.lit(0), "side": F.lit("far")}),
