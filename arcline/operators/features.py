@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import hypot
-from .ordered import neighbour, segments, windowed
+from .ordered import BLK, OWN, neighbour, segments, spread, windowed
 
 KEYS = ["session_id"]
 WINDOWS = (10, 25, 50, 100)
@@ -30,26 +30,110 @@ def frame_labels(truth: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.join(t, [*KEYS, "frame"], "left").select(*KEYS, "frame", F.coalesce("_l", F.lit(0)).alias("label"))
 
 
-@F.pandas_udf(T.DoubleType(), F.PandasUDFType.SCALAR)
-def _mid_power(signals):
-    """Share of the spectrum between a tenth and half of the bins of each 0/1 list."""
-    out = []
-    for s in signals:
-        s = np.asarray(s, float)
-        p = np.abs(np.fft.rfft(s - s.mean())) ** 2 if len(s) > 4 else np.zeros(1)
-        lo, hi = max(1, len(p) // 10), min(len(p), len(p) // 2)
-        out.append(float(p[lo:hi].sum() / p.sum()) if hi > lo and p.sum() > 0 else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
-def rally_features(a: DataFrame, b: DataFrame, spans: DataFrame) -> DataFrame:
-    """Features of every frame from one camera's detections and the other's presence.
+#: Rows whose windows are laid out at once: their arrays stay in the processor's cache.
+CHUNK = 128
+
+
+def _mid_power(h: np.ndarray, win: int, own: np.ndarray) -> np.ndarray:
+    """Share of the spectrum between a tenth and half of the bins of the 0/1 rows around each row of ``own``."""
+    half, n = win // 2, len(h)
+    out = np.zeros(n)
+
+    def share(s: np.ndarray) -> np.ndarray:
+        if s.shape[1] <= 4:
+            return np.zeros(len(s))
+        p = np.abs(np.fft.rfft(s - s.mean(1, keepdims=True))) ** 2
+        lo, hi, total = max(1, p.shape[1] // 10), p.shape[1] // 2, p.sum(1)
+        return np.where(total > 0, p[:, lo:hi].sum(1) / np.where(total > 0, total, 1.0), 0.0) if hi > lo else np.zeros(len(s))
+
+    whole = own[(own >= half) & (own + half <= n)]
+    for at in np.array_split(whole, len(whole) // CHUNK + 1):
+        if len(at):
+            out[at] = share(np.lib.stride_tricks.sliding_window_view(h, win)[at - half])
+    for i in own[(own < half) | (own + half > n)]:  # cut at an end of the session
+        out[i] = share(h[None, max(0, i - half):i + half])[0]
+    return out
+
+
+def _window_features(t: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Steps and window features of the dense, ordered rows of one bordered block."""
+    n, h, h68 = len(t), t["h66"].to_numpy(float), t["h68"].to_numpy(float)
+    on = h == 1
+    x, y, iv = (t[c].to_numpy(float) for c in ("pixel_x", "pixel_y", "_iv"))
+    lag = lambda v, first=np.nan: np.concatenate([[first], v[:-1]])
+    dx, dy = x - lag(x), y - lag(y)
+    vel = np.nan_to_num(np.sqrt(dx * dx + dy * dy))
+    flip = (dy * lag(dy) < 0).astype(float)
+    out = {"vel_x": np.nan_to_num(dx), "vel_y": np.nan_to_num(dy), "vel": vel, "accel": np.abs(vel - lag(vel, 0.0))}
+    row = np.arange(n)
+
+    def counted(v: np.ndarray, before: int, after: int) -> np.ndarray:
+        """Window sums of whole numbers, exact as differences of running sums."""
+        c = np.concatenate([[0.0], np.cumsum(v)])
+        return c[np.minimum(row + after + 1, n)] - c[np.maximum(row - before, 0)]
+
+    iv = np.where(on, np.nan_to_num(iv), 0.0)
+    first = np.minimum.accumulate(np.where(on, row, n)[::-1])[::-1]  # the next detection at or after a row
+    for win in WINDOWS:
+        half = win // 2
+        size, n66 = counted(np.ones(n), half, half), counted(h, half, half)
+        many = n66 > 1
+        start = np.minimum(first[np.maximum(row - half, 0)], n - 1)
+        inner = np.maximum(n66 - 1, 1)
+        mean = (counted(iv, half, half) - iv[start]) / inner
+        var = (counted(iv * iv, half, half) - iv[start] ** 2) / inner - mean * mean
+        got = {c: np.zeros(n) for c in ("mean_sum", "mean_max", "mean_area", "mean_vel", "std_vel", "y_range", "x_range", "std_x", "std_y", "max_gap")}
+        views = {c: np.lib.stride_tricks.sliding_window_view(np.pad(v, half, constant_values=np.nan), 2 * half + 1) for c, v in (
+            ("mean_sum", np.where(on, t["blob_sum"], np.nan)), ("mean_max", np.where(on, t["blob_max"], np.nan)), ("mean_area", np.where(on, t["blob_area"], np.nan)),
+            ("mean_vel", vel), ("std_vel", np.where(on, vel, np.nan)), ("x", x), ("y", y), ("iv", np.where(on, iv, np.nan)))}
+        for lo in range(0, n, CHUNK):
+            part = slice(lo, min(lo + CHUNK, n))
+
+            def stats(c):
+                v = views[c][part]
+                ok = ~np.isnan(v)
+                k = np.maximum(ok.sum(1), 1)
+                return v, ok, k, np.where(ok, v, 0.0).sum(1) / k
+
+            def spread_of(v, ok, k, m):
+                return np.sqrt((np.where(ok, v - m[:, None], 0.0) ** 2).sum(1) / k)
+
+            def span(v, ok, *_):
+                return np.where(ok, v, -np.inf).max(1) - np.where(ok, v, np.inf).min(1)
+
+            for c in ("mean_sum", "mean_max", "mean_area", "mean_vel"):
+                got[c][part] = stats(c)[3]
+            got["std_vel"][part] = spread_of(*stats("std_vel"))
+            for c in "xy":
+                s = stats(c)
+                got[f"std_{c}"][part], got[f"{c}_range"][part] = spread_of(*s), span(*s)
+            gaps = np.where(np.isnan(views["iv"][part]), -np.inf, views["iv"][part])
+            gaps[np.arange(len(gaps)), np.clip(start[part] - (row[part] - half), 0, 2 * half)] = -np.inf  # reaches out of the window
+            got["max_gap"][part] = gaps.max(1)
+        for c in ("std_vel", "y_range", "x_range", "std_x", "std_y"):
+            got[c] = np.where(many, got[c], 0.0)
+        got["max_gap"] = np.where(many, got["max_gap"], float(win))
+        out |= {f"{c}_{win}": v for c, v in got.items()} | {
+            f"density_{win}": n66 / size, f"density68_{win}": counted(h68, half, half) / size, f"xcam_{win}": counted(h * h68, half, half) / np.maximum(n66, 1),
+            f"flips_{win}": counted(flip, half, half).astype("int64"), f"mean_gap_{win}": np.where(many, mean, float(win)),
+            f"regularity_{win}": np.where(many, np.sqrt(np.maximum(var, 0.0)), float(win))}
+    for back in LOOKBACKS:
+        out[f"rate_{back}"] = counted(h, back, 0) / counted(np.ones(n), back, 0)
+    for win in (50, 100):
+        out[f"power_{win}"] = _mid_power(h, win, np.flatnonzero(t[OWN].to_numpy(bool)))
+    return out
+
+
+def rally_features(a: DataFrame, b: DataFrame, spans: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Features of every frame from one camera's detections and the other's presence; ``labels`` of dense frames ride along.
 
     ``a``: frame, pixel_x, pixel_y, blob_sum, blob_max, blob_area, n_blobs. Frames are dense, so
     all windows reach a fixed number of rows and bordered blocks are exact; only the distances
     to the nearest detection and run lengths look further, as two-level scans.
     """
     d = dense_frames(spans).join(a, [*KEYS, "frame"], "left").join(b.select(*KEYS, "frame", F.lit(1).alias("_h68")).distinct(), [*KEYS, "frame"], "left")
+    if labels is not None:  # joined while rows are narrow
+        d = d.join(labels, [*KEYS, "frame"])
     has = F.col("pixel_x").isNotNull()
     d = d.withColumns({"h66": has.cast("int"), "h68": F.coalesce("_h68", F.lit(0))}).drop("_h68")
     d = neighbour(d, KEYS, "frame",
@@ -64,50 +148,29 @@ def rally_features(a: DataFrame, b: DataFrame, spans: DataFrame) -> DataFrame:
         "total_run": F.when(on, F.coalesce("_n0", F.col("last") + 1) - F.coalesce("_p0", F.lit(-1)) - 1).otherwise(0),
         "_iv": F.when(on, f - F.col("_pd"))})
 
-    def step1(t: DataFrame, w: WindowSpec) -> DataFrame:
-        dx, dy = F.col("pixel_x") - F.lag("pixel_x").over(w), F.col("pixel_y") - F.lag("pixel_y").over(w)
-        z = F.lit(0.0)
-        t = t.withColumns({"vel_x": F.coalesce(dx, z), "vel_y": F.coalesce(dy, z), "vel": F.coalesce(hypot(dx, dy), z), "_dy": dy})
-        t = t.withColumns({"accel": F.abs(F.col("vel") - F.coalesce(F.lag("vel").over(w), z)),
-                           "_flip": F.coalesce((F.col("_dy") * F.lag("_dy").over(w) < 0).cast("int"), F.lit(0))})
-        out = {}
-        for win in WINDOWS:
-            r = w.rowsBetween(-(win // 2), win // 2)
-            n66 = F.sum("h66").over(r)
-            some, many = n66 > 0, n66 > 1
-            c = lambda v: F.when(on_row, v)
-            on_row = F.col("h66") == 1
-            first = F.first("_iv", ignorenulls=False)
-            ivs = F.collect_list(F.when(on_row, F.struct("frame", "_iv"))).over(r)
-            inner = F.transform(F.slice(ivs, 2, 2 * win), lambda s: s["_iv"].cast("double"))
-            size = F.size(inner)
-            mean = F.aggregate(inner, F.lit(0.0), lambda x, v: x + v) / size
-            var = F.aggregate(inner, F.lit(0.0), lambda x, v: x + v * v) / size - mean * mean
-            out |= {
-                f"density_{win}": n66 / F.count("*").over(r), f"density68_{win}": F.sum("h68").over(r) / F.count("*").over(r),
-                f"mean_sum_{win}": F.coalesce(F.avg(c(F.col("blob_sum"))).over(r), F.lit(0.0)), f"mean_max_{win}": F.coalesce(F.avg(c(F.col("blob_max"))).over(r), F.lit(0.0)),
-                f"mean_area_{win}": F.coalesce(F.avg(c(F.col("blob_area"))).over(r), F.lit(0.0)), f"mean_vel_{win}": F.avg("vel").over(r),
-                f"std_vel_{win}": F.when(many, F.stddev_pop(c(F.col("vel"))).over(r)).otherwise(0.0),
-                f"xcam_{win}": F.sum(F.col("h66") * F.col("h68")).over(r) / F.greatest(n66, F.lit(1)),
-                f"y_range_{win}": F.when(many, F.max("pixel_y").over(r) - F.min("pixel_y").over(r)).otherwise(0.0),
-                f"x_range_{win}": F.when(many, F.max("pixel_x").over(r) - F.min("pixel_x").over(r)).otherwise(0.0),
-                f"std_x_{win}": F.when(many, F.stddev_pop("pixel_x").over(r)).otherwise(0.0), f"std_y_{win}": F.when(many, F.stddev_pop("pixel_y").over(r)).otherwise(0.0),
-                f"flips_{win}": F.sum("_flip").over(r),
-                f"regularity_{win}": F.when(many, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(float(win)),
-                f"mean_gap_{win}": F.when(many, mean).otherwise(float(win)), f"max_gap_{win}": F.when(many, F.array_max(inner)).otherwise(float(win))}
-        for back in LOOKBACKS:
-            out[f"rate_{back}"] = F.avg("h66").over(w.rowsBetween(-back, 0))
-        for win in (50, 100):
-            out[f"_sig_{win}"] = F.collect_list("h66").over(w.rowsBetween(-(win // 2), win // 2 - 1))
-        return t.withColumns(out)
-
-    t = windowed(d, KEYS, "frame", step1, max(LOOKBACKS) + 3, max(WINDOWS) // 2 + 1)
-    t = t.withColumns({f"power_{w}": _mid_power(f"_sig_{w}") for w in (50, 100)})
+    # narrow rows go into one pass over each bordered block: no list of a window is ever a column
+    blobs = ["blob_sum", "blob_max", "blob_area", "n_blobs"]
+    kept = [*KEYS, "frame", *blobs, "h66", "h68", "gap_before", "gap_after", "run_length", "total_run", *(["label"] if labels is not None else []), "pixel_x", "pixel_y"]
+    d = d.select(*kept, "_iv").withColumns({c: F.col(c).cast("double") for c in [*blobs, "_iv"]})
+    per = ("density", "density68", "mean_sum", "mean_max", "mean_area", "mean_vel", "std_vel", "xcam", "y_range", "x_range", "std_x", "std_y", "flips", "regularity", "mean_gap", "max_gap")
+    made = ["vel_x", "vel_y", "vel", "accel", *[f"{c}_{w}" for w in WINDOWS for c in per], *[f"rate_{b}" for b in LOOKBACKS], "power_50", "power_100"]
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[OWN].to_numpy(bool)
+        if not own.any():  # a border without rows of its own
+            return pd.DataFrame({c: [] for c in [*kept, *made]})
+        order = np.argsort(pdf["frame"].to_numpy(), kind="stable")
+        pdf, own = pdf.take(order).reset_index(drop=True), own[order]
+        got = _window_features(pdf)
+        return pd.DataFrame({c: pdf[c].to_numpy()[own] for c in kept} | {c: got[c][own] for c in made})
+
+    schema = T.StructType([d.schema[c] for c in kept] + [T.StructField(c, T.LongType() if c.startswith("flips") else T.DoubleType()) for c in made])
+    t = spread(d, "frame", max(LOOKBACKS) + 3, max(WINDOWS) // 2 + 1).groupBy(*KEYS, BLK).applyInPandas(block, schema)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     t = t.withColumns({
         "min_gap": F.least("gap_before", "gap_after"), "both": F.col("h66") * F.col("h68"), "px_norm": zero(F.col("pixel_x") / 1920.0), "py_norm": zero(F.col("pixel_y") / 1080.0),
         **{c: zero(F.col(c).cast("double")) for c in ("blob_sum", "blob_max", "blob_area", "n_blobs")}})
-    return t.drop("_pd", "_p0", "_nd", "_n0", "_iv", "_dy", "_flip", "_sig_50", "_sig_100", "last", "pixel_x", "pixel_y")
+    return t.drop("pixel_x", "pixel_y")
 
 
 def _runs(df: DataFrame, label: str) -> DataFrame:

@@ -40,10 +40,10 @@ def _(spark, sf):
     return FE.frame_labels(table(spark, sf, "gt_px"), FE.dense_frames(spans(spark, sf)))
 
 
-def features(spark, sf):
+def features(spark, sf, labels=None):
     a = table(spark, sf, "det66").select("session_id", "frame", "pixel_x", "pixel_y", "blob_sum", (F.col("blob_sum") / 4).alias("blob_max"),
                                          (F.col("event_id") % 7 + 10).alias("blob_area"), F.lit(3).alias("n_blobs"))
-    return FE.rally_features(a, table(spark, sf, "det68"), spans(spark, sf))
+    return FE.rally_features(a, table(spark, sf, "det68"), spans(spark, sf), labels)
 
 
 @query("w49_rally_features", f"""WITH {DENSE},
@@ -86,7 +86,11 @@ def _(spark, sf):
 
 @query("l1_l2_rally_model")
 def _(spark, sf):
-    f = cut_lineage(features(spark, sf).join(FE.frame_labels(table(spark, sf, "gt_px"), FE.dense_frames(spans(spark, sf))), ["session_id", "frame"]))
+    labels = FE.frame_labels(table(spark, sf, "gt_px"), FE.dense_frames(spans(spark, sf)))
+    path = scratch(spark, "features")
+    # only what the models read, in columns: a few small numbers in each
+    features(spark, sf, labels).select("session_id", "frame", "label", *FE.FEATURES).write.parquet(path)
+    f = spark.read.parquet(path)
     prob = cut_lineage(FE.rally_probability(FE.train_rally_models(f, trees=10, depth=4), f))
     return FE.predicted_rallies(prob).groupBy("session_id").agg(F.count_if(F.col("rally") == 1).alias("rally_frames"), r(F.avg(((F.col("prob") >= 0.42).cast("int") == F.col("label")).cast("double"))).alias("accuracy"))
 
