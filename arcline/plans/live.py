@@ -27,7 +27,8 @@ def stream(spark, sf, name):
     """A derived view over the event table read as a file stream."""
     if name == "events":
         schema = spark.read.parquet(f"{sf}/events.parquet").schema
-        return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        # a pattern names the table whether it is one file or a folder of files; a plain path must be a folder
+        return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     needs = {m.group(2) for m in _FROM.finditer(_T[name])}
     text = _FROM.sub(lambda m: f"{m.group(1)} {{{m.group(2)}}}", _T[name])
     return spark.sql(text, **{n: stream(spark, sf, n) for n in needs})
