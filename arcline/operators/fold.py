@@ -10,16 +10,22 @@ its warm-up.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Sequence
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import ordered
-from .ordered import BLK, block_of
+from .ordered import BLK, OWN, block_of
+
+#: Rows that leave a task together.
+BATCH = 1 << 14
 
 Step = Callable[[dict, tuple], Iterable[tuple]]
 
@@ -48,32 +54,46 @@ def fold(
     key_fields.sort(key=lambda f: part.index(f.name))
     full = T.StructType([*key_fields, T.StructField("_in", T.StringType()), T.StructField("_end", T.StringType()), *out_fields])
     start = json.dumps(init, sort_keys=True)
-
-    def run(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        text = json.dumps(state, sort_keys=True)
-        out = [t for row in pdf.itertuples(index=False) for t in step(state, row)]
-        res = pd.DataFrame(out, columns=names, dtype=object)
-        res["_in"], res["_end"] = None, None
-        end = dict.fromkeys(names) | {"_in": text, "_end": json.dumps(state, sort_keys=True)}
-        res = pd.concat([res.astype(object), pd.DataFrame([end], dtype=object)], ignore_index=True)
-        for i, k in enumerate(part):
-            res[k] = pdf[k].iloc[0]
-        return _typed(res, full)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        own = pdf[ordered.OWN].astype(bool)
-        state = json.loads(start)
-        if not own.any():  # only copies from the block before
-            return _typed(pd.DataFrame(columns=full.names, dtype=object), full)
-        for row in pdf[~own].itertuples(index=False):
-            step(state, row)
-        return run(pdf[own], state)
-
-    def again(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values(order), json.loads(state["_prev"].iloc[0]))
-
-    done = cut_lineage(warmed.groupBy(*part).applyInPandas(first, full))
+    empty = (None,) * len(names)
+    columns = df.columns
+    kind = namedtuple("Row", columns, rename=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks pass one after the other, so one batch is held, whatever the number of blocks and their length.
+
+        A row without a mark of its own tells the state that its block starts from, copies warm it up.
+        """
+        made, at, state, text, types = [], None, None, None, None
+
+        def end() -> list[tuple]:
+            return [] if text is None else [(*at, text, json.dumps(state, sort_keys=True), *empty)]
+
+        for b in batches:
+            types = types or [b.schema.field(k).type for k in part]
+            cols = [values(b.column(c), True) for c in columns]
+            ids = zip(*(values(b.column(k)) for k in part))
+            for key, own, told, row in zip(ids, values(b.column(OWN)), values(b.column("_prev")), map(kind._make, zip(*cols))):
+                if key != at:
+                    made += end()
+                    at, state, text = key, json.loads(told or start), None
+                if own is None:
+                    continue
+                if own and text is None:
+                    text = json.dumps(state, sort_keys=True)
+                got = step(state, row)
+                if own:
+                    made += [(*key, None, None, *t) for t in got]
+                if len(made) >= BATCH:
+                    yield _batch(made, full, types)
+                    made = []
+        made += end()
+        if made:
+            yield _batch(made, full, types)
+
+    def through(t: DataFrame) -> DataFrame:
+        return t.repartition(*part).sortWithinPartitions(*part, order).mapInArrow(run, full)
+
+    done = cut_lineage(through(warmed.withColumn("_prev", F.lit(None).cast("string"))))
     frozen = None
     chain = Window.partitionBy(*keys).orderBy(BLK)
     while True:
@@ -83,7 +103,7 @@ def fold(
             break
         frozen = frozen if frozen is not None else cut_lineage(rows)
         todo = frozen.join(stale.select(*part), part, "left_semi")
-        redo = todo.groupBy(*part).cogroup(stale.groupBy(*part)).applyInPandas(again, full)
+        redo = through(todo.withColumn(OWN, F.lit(True)).unionByName(stale, allowMissingColumns=True))
         done = cut_lineage(done.join(stale.select(*part), part, "left_anti").select(*full.names).unionByName(redo))
     out = done.where(F.col("_end").isNull()).select(*keys, *names)
     if flush is None:
@@ -100,6 +120,42 @@ def fold(
     return out.unionByName(last.mapInPandas(closing, tail_schema))
 
 
+def values(a: pa.Array, top: bool = False) -> list:
+    """Python values of a column, structs as dicts; missing numbers of the column itself (``top``) are NaN."""
+    if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        inner, out, n = values(a.flatten()), [], 0
+        for k in pc.list_value_length(a).to_pylist():
+            out.append(None if k is None else inner[n:n + k])
+            n += k or 0
+        return out
+    if pa.types.is_struct(a.type):
+        names = [f.name for f in a.type]
+        out = [dict(zip(names, v)) for v in zip(*(values(f) for f in a.flatten()))]
+        return out if not a.null_count else [v if ok else None for v, ok in zip(out, a.is_valid().to_pylist())]
+    number = pa.types.is_integer(a.type) or pa.types.is_floating(a.type)
+    if number and not a.null_count:
+        return a.to_numpy(zero_copy_only=False).tolist()
+    out = a.to_pylist()
+    return [float("nan") if v is None else v for v in out] if number and top else out
+
+
+def _batch(rows: list[tuple], schema: T.StructType, keys: list[pa.DataType]) -> pa.RecordBatch:
+    """Rows as a batch; NaN is missing, as in ``_typed``."""
+    as_type = {T.LongType: int, T.IntegerType: int, T.DoubleType: float, T.BooleanType: bool}
+    kinds = [*keys, *[_arrow(f.dataType) for f in schema.fields[len(keys):]]]
+    out = []
+    for col, f, t in zip(zip(*rows), schema.fields, kinds):
+        to = as_type.get(type(f.dataType))
+        out.append(pa.array([None if v is None or v != v else to(v) for v in col] if to else col, t))
+    return pa.RecordBatch.from_arrays(out, names=schema.names)
+
+
+def _arrow(t: T.DataType) -> pa.DataType:
+    if isinstance(t, T.ArrayType):
+        return pa.list_(_arrow(t.elementType))
+    return {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.StringType: pa.string()}[type(t)]
+
+
 def _typed(pdf: pd.DataFrame, schema: T.StructType) -> pd.DataFrame:
     """Nullable pandas types, so that missing integers and booleans survive."""
     kind = {T.LongType: "Int64", T.IntegerType: "Int32", T.DoubleType: "Float64", T.BooleanType: "boolean"}
