@@ -165,13 +165,18 @@ def candidate_pairs(cands_a: DataFrame, cands_b: DataFrame, cam_a: tuple, cam_b:
                     max_ray: float = 2.0, z: tuple[float, float] = (0.0, 8.0)) -> DataFrame:
     """Every candidate of camera a with every one of b in the same frame, triangulated and gated.
 
-    A frame holds a handful of ranked candidates per camera by construction.
+    A frame holds a handful of ranked candidates per camera by construction. The gate runs over the frame's list of
+    points: as a filter it would be pushed below the triangulation and compute all of it anew for each reference.
     """
     cols = [("rank", "rank"), *_CAM]
+    keys = ["session_id", "frame"]
     a = cands_a.select("session_id", "frame", *[F.col(c).alias(f"a_{n}") for c, n in cols])
     b = cands_b.select("session_id", "frame", *[F.col(c).alias(f"b_{n}") for c, n in cols])
-    t = triangulated(a.join(b, ["session_id", "frame"]), "a", "b", cam_a, cam_b)
-    return t.where((F.col("ray_dist") <= max_ray) & F.col("z").between(*z))
+    t = triangulated(a.join(b, keys), "a", "b", cam_a, cam_b)
+    rest = [c for c in t.columns if c not in keys]
+    t = t.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_p"))
+    near = F.filter("_p", lambda p: (p["ray_dist"] <= max_ray) & p["z"].between(*z))
+    return t.select(*keys, F.explode(near).alias("_p")).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in rest])
 
 
 def best_pairs(pairs: DataFrame, rank_penalty: float = 0.5) -> DataFrame:
