@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import triangulated
+from ..session import cut_lineage
 from .fold import fold
 from .ordered import segments
 from .stats import quantiles
@@ -93,9 +94,10 @@ def best_paths(pairs: DataFrame, gap: int = 5, min_frames: int = 3, fps: float =
     off = (F.abs("x") > COURT.half_width + 3) | (F.abs("y") > COURT.half_length + 3)
     c = pairs.withColumn("emit", 2 * F.col("ray_dist") + F.when(off, 3.0).otherwise(0.0))
     c = c.groupBy(*KEYS, "frame").agg(F.array_sort(F.collect_list(F.struct("a_rank", "b_rank", "x", "y", "z", "emit", "ray_dist"))).alias("cands"))
-    c = segments(c, KEYS, "frame", gap)
-    size = c.groupBy(*KEYS, "seg").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_frames).select(*KEYS, "seg")
-    c = c.join(size, [*KEYS, "seg"], "left_semi")
+    # stretches are found on frame numbers alone, and the candidates are made once for both folds and the answer
+    seg = segments(cut_lineage(c.select(*KEYS, "frame")), KEYS, "frame", gap)
+    size = seg.groupBy(*KEYS, "seg").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_frames).select(*KEYS, "seg")
+    c = cut_lineage(c.join(seg.join(size, [*KEYS, "seg"], "left_semi"), [*KEYS, "frame"]))
 
     def move(p, q, dt, before, dt_before):
         d = [q[i] - p[i] for i in range(3)]
