@@ -216,14 +216,15 @@ def balance_classes(df: DataFrame, label: str, rest: str, factor: int = 5, order
 
     Which rows go beyond whole repeats is decided by a hash threshold: a row takes one more copy
     when its hash falls below the remaining share, so class sizes are met in expectation and no
-    class is ever sorted. The class counts are a few rows.
+    class is ever sorted. The class counts are a few rows and go to every task: dealt by label, all rows of a class
+    would meet in one.
     """
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     top = n.where(F.col(label) != rest).agg((F.max("_n") * factor).alias("_target"))
     share = n.join(top, F.lit(True)).withColumn("_share", F.when((F.col(label) == rest), F.least(F.lit(1.0), F.col("_target") / F.col("_n"))).otherwise(F.col("_target") / F.col("_n")))
     u = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("_share") + (u < F.col("_share") - F.floor("_share")).cast("long")
-    t = df.join(share.select(label, "_share"), label).withColumn("_k", copies).where("_k > 0")
+    t = df.join(F.broadcast(share.select(label, "_share")), label).withColumn("_k", copies).where("_k > 0")
     return t.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))).drop("_k", "_share")
 
 
