@@ -3,7 +3,8 @@
 Every assistant turn is an example of its own: all turns before it are the context, and only its text may be
 trained on. Written out, the contexts of a conversation grow with the square of its turns, so the output is the
 formatted conversation once, turn after turn, and examples are spans of it: context up to ``context_end``, loss
-from ``loss_start`` to ``loss_end``. ``render`` writes examples out as text.
+from ``loss_start`` to ``loss_end``. ``read_back`` reads what is trained on from the examples' spans, ``render``
+writes examples out as text.
 
 A turn is ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line break. Inside texts and roles
 a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a mark, and dropping one backslash of
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import settled
+
 START, END = "<|im_start|>", "<|im_end|>\n"  # fixed values: marks of the template
 #: Turns of a conversation that are counted together; a long one is summed piece by piece.
 PIECE = 1024
@@ -86,13 +89,23 @@ def render(segments: DataFrame) -> DataFrame:
     return parts.select(F.col("c").alias("conv_id"), F.col("example").alias("place"), F.concat(F.array_join("s.segment", ""), "lead").alias("context"), "target")
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, loss) parsed from formatted segments; loss is the text under the mask or null."""
+def read_back(segments: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(conv_id, place, role, text, loss, chars, example_chars) read from the formatted conversation and its examples.
+
+    Role and text are parsed from the segments. ``loss`` is what each of the ``asked`` examples (None: all) may be trained on,
+    read from its spans: where its context ends, the turn after the context's turns begins, and its loss lies in that turn.
+    ``example_chars`` is the length of the example with its context. Both are null for turns without an example.
+    """
     inner = F.expr(f"substring(segment, {len(START) + 1}, length(segment) - {len(START) + len(END)})")
     line = F.instr(F.col("inner"), "\n")
-    out = segments.withColumn("inner", inner).withColumn("line", line)
-    return out.select("conv_id", "place", "start", F.length("segment").alias("chars"), unescaped_role(F.expr("substring(inner, 1, line - 1)")).alias("role"),
-                      unescaped(F.expr("substring(inner, line + 1)")).alias("text"), unescaped(F.expr("substring(segment, loss_start + 1, loss_end - loss_start)")).alias("loss"))
+    asked = examples(segments) if asked is None else asked
+    spans = asked.select(F.col("conv_id").alias("c"), F.col("context_turns").alias("turns"), "context_end", "loss_start", "loss_end")
+    out = segments.select("conv_id", "place", "segment").join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("turns")), "left")
+    out = out.withColumn("inner", inner).withColumn("line", line)
+    return out.select("conv_id", "place", F.length("segment").cast("long").alias("chars"), unescaped_role(F.expr("substring(inner, 1, line - 1)")).alias("role"),
+                      unescaped(F.expr("substring(inner, line + 1)")).alias("text"),
+                      unescaped(F.expr("substring(segment, cast(loss_start - context_end as int) + 1, cast(loss_end - loss_start as int))")).alias("loss"),
+                      (F.col("loss_end") + len(END)).alias("example_chars"))
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -112,7 +125,7 @@ def digests(read: DataFrame) -> DataFrame:
         kind = None
         for b in batches:
             kind, done = b.schema.field("conv_id").type, []
-            for key, role, text, loss, start, chars in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "start", "chars"))):
+            for key, role, text, loss, chars, example in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "chars", "example_chars"))):
                 if state is None or state[0] != key:
                     if state is not None:
                         done.append(closed())
@@ -123,7 +136,7 @@ def digests(read: DataFrame) -> DataFrame:
                 if loss is not None:
                     state[3] += len(loss)
                     state[4].update(loss.encode())
-                    state[6] += start + chars
+                    state[6] += example
             if done:
                 yield batch(done, kind)
         if state is not None:
@@ -135,7 +148,7 @@ def digests(read: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_chars"]
     conv = read.schema["conv_id"].dataType.simpleString()
-    rows = read.select("conv_id", "place", "role", "text", "loss", "start", "chars").repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    rows = read.select("conv_id", "place", "role", "text", "loss", "chars", "example_chars").repartition("conv_id").sortWithinPartitions("conv_id", "place")
     return rows.mapInArrow(each, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_chars long")
 
 
@@ -143,8 +156,8 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], turns.schema)
-    read = read_back(format_turns(turns.unionByName(more)))
-    return digests(read)
+    segments = settled(format_turns(turns.unionByName(more)))
+    return digests(read_back(segments, examples(segments)))
 
 
 OP6_SQL = r"""
