@@ -27,7 +27,9 @@ def reports(rallies: DataFrame, every: int = 10, base: str | None = None) -> Dat
 
     def batch(df: DataFrame, batch_id: int) -> None:
         here = df.sparkSession
-        totals = f"{base}/totals"
+        totals, came = f"{base}/totals", f"{base}/came/batch={batch_id}"
+        df.write.mode("overwrite").parquet(came)  # read three times below: the stream's operators must not run again for each
+        df = here.read.schema(df.schema).parquet(came)
         old = here.read.schema(schema).parquet(f"{totals}/batch={batch_id - 1}") if batch_id else here.createDataFrame([], schema)
         old = old.select("session_id", *[F.col(c).alias(f"_{c}") for c in ("rallies", *SUMS)])
         run = Window.partitionBy("session_id").orderBy("rally").rowsBetween(Window.unboundedPreceding, 0)
