@@ -13,19 +13,29 @@ from ..session import cut_lineage
 def linked_groups(links: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
     """(keys, node, label): the least node that links (both ways, within equal keys) lead to, for every node of ``links``.
 
-    Each round takes the least label of a node's neighbours and then the label of that label, so labels travel in
-    doubling steps; a node with very many links is a pre-aggregated key.
+    Each round points every node to its least neighbour, follows the pointers to their ends in doubling steps, and
+    goes on with the links between those ends alone. So a round meets only what is not yet settled, and the longest
+    chain costs small rounds; the answers of all rounds are put together from the last one back. A node with very
+    many links is a pre-aggregated key.
     """
     keys = list(keys)
     e = links.select(*keys, F.col(a).alias("node"), F.col(b).alias("other"))
     e = cut_lineage(e.unionByName(e.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    label = cut_lineage(e.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    while True:
-        seen = label.select(*keys, F.col("node").alias("other"), F.col("label").alias("theirs"))
-        near = e.join(seen, [*keys, "other"]).groupBy(*keys, "node").agg(F.min("theirs").alias("low"))
-        step = label.join(near, [*keys, "node"]).select(*keys, "node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        ahead = step.select(*keys, F.col("node").alias("label"), F.col("label").alias("next"))
-        step = cut_lineage(step.join(ahead, [*keys, "label"]).select(*keys, "node", "was", F.least("label", "next").alias("label")))
-        if step.where("label <> was").isEmpty():
-            return step.select(*keys, "node", "label")
-        label = step.drop("was")
+    rounds: list[DataFrame] = []
+    while not rounds or not e.isEmpty():
+        label = cut_lineage(e.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+        while True:
+            ahead = label.select(*keys, F.col("node").alias("label"), F.col("label").alias("next"))
+            step = cut_lineage(label.join(ahead, [*keys, "label"]).select(*keys, "node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            label = step.drop("moved")
+            if step.where("moved").isEmpty():
+                break
+        rounds.append(label)
+        own, theirs = label.withColumnRenamed("label", "from"), label.toDF(*keys, "other", "to")
+        e = e.join(own, [*keys, "node"]).join(theirs, [*keys, "other"]).where(F.col("from") != F.col("to"))
+        e = cut_lineage(e.select(*keys, F.col("from").alias("node"), F.col("to").alias("other")).distinct())
+    last = rounds.pop()
+    while rounds:
+        later = last.toDF(*keys, "label", "end")
+        last = cut_lineage(rounds.pop().join(later, [*keys, "label"], "left").select(*keys, "node", F.coalesce("end", "label").alias("label")))
+    return last.select(*keys, "node", "label")
