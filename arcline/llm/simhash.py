@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, settled
+from .common import broadcast_if_small, components, settled, sorted_join
 
 #: Shingles whose bits are counted at a time, so that a text of any length needs bounded memory.
 CHUNK = 1 << 15
@@ -101,8 +101,9 @@ def links(prints: DataFrame, radius: int = 4, segments: int | None = None, bucke
     full = settled(table.groupBy("seg", "key").count().filter(F.col("count") > bucket).select("seg", "key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     if full.isEmpty():
-        return table.join(looks, ["seg", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    plain = table.join(full, ["seg", "key"], "left_anti").join(looks, ["seg", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
+        return sorted_join(looks, table, ["seg", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    full = broadcast_if_small(full)
+    plain = sorted_join(looks, table.join(full, ["seg", "key"], "left_anti"), ["seg", "key"]).filter((F.col("a") != F.col("b")) & near).select("a", "b")
     crowd = looks.join(full, ["seg", "key"], "left_semi").select(F.col("a").alias("fp"))
     crowd = crowd.unionByName(table.join(full, ["seg", "key"], "left_semi").select(F.col("b").alias("fp"))).distinct()
     return plain.unionByName(ball_links(settled(crowd), radius)).distinct()
@@ -119,11 +120,11 @@ def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     small = F.lit(np.array(_ball(64, half), np.uint64).view(np.int64))
     at = prints.select("fp", F.explode(F.transform(small, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
     low = at.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("z", "b")
-    stars = at.join(low, "z").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = sorted_join(at, low, ["z"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
     if radius % 2:
         wide = F.lit(np.array(_ball(64, half + 1), np.uint64).view(np.int64))
         far = prints.select(F.col("fp").alias("a"), F.explode(F.transform(wide, lambda x: F.col("fp").bitwiseXOR(x))).alias("z"))
-        odd = far.join(low.unionByName(at.select("z", F.col("fp").alias("b"))).distinct(), "z")
+        odd = sorted_join(far, low.unionByName(at.select("z", F.col("fp").alias("b"))).distinct(), ["z"])
         stars = stars.unionByName(odd.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
     return stars.distinct()
 
@@ -132,7 +133,7 @@ def groups_of(rows: DataFrame, radius: int = 4, segments: int | None = None, buc
     """(fp, root, component_id) of each distinct ``fp`` in ``rows`` (id, fp); root is the smallest fp of its component."""
     prints = settled(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(prints.select("fp"), radius, segments, bucket))
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = sorted_join(prints, roots.withColumnRenamed("node", "fp"), ["fp"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
 
