@@ -35,8 +35,8 @@ def stream(spark, sf, name):
 
 
 def timed(df):
-    """Sessions are laid one after another on the event-time axis."""
-    return df.withColumn("event_time", F.timestamp_micros(((F.col("session_id") * 10000 + F.col("t")) * 1000000).cast("long")))
+    """Sessions are laid one after another on the event-time axis, from a day after the epoch, as a row at the first watermark is late."""
+    return df.withColumn("event_time", F.timestamp_micros(((F.col("session_id") * 10000 + F.col("t") + I.DAY) * 1000000).cast("long")))
 
 
 @query("x1_stream_pairing", _tri_sql("SELECT session_id, frame, ROUND(x, 4) AS x, ROUND(z, 4) AS z FROM tri"))
