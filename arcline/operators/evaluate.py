@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hypot
-from ..session import cut_lineage
+from ..session import Kept
 from .groups import linked_groups
 from .joins import match_one_to_one
 from .ordered import segments, windowed
@@ -211,24 +211,31 @@ def static_clusters(cands: DataFrame, cell: float = 25.0, min_frames: int = 30)
     and every cell that touches it with a mean position at most ``cell`` away are one place. Distinct frames come
     from the (frame, cell) pre-aggregate, so a busy cell never meets in one task.
     """
-    cam = ["session_id", "camera"]
+    cam, kept = ["session_id", "camera"], Kept(cands.sparkSession)
     cx, cy = F.floor(F.col("pixel_x") / cell).cast("long"), F.floor(F.col("pixel_y") / cell).cast("long")
-    per = cut_lineage(cands.groupBy(*cam, cx.alias("cx"), cy.alias("cy"), "frame").agg(F.sum("pixel_x").alias("sx"), F.sum("pixel_y").alias("sy"), F.count("*").alias("n")))
+    per = kept.keep(cands.groupBy(*cam, cx.alias("cx"), cy.alias("cy"), "frame").agg(F.sum("pixel_x").alias("sx"), F.sum("pixel_y").alias("sy"), F.count("*").alias("n")))
     c = per.groupBy(*cam, "cx", "cy").agg(F.count("*").alias("frames"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
-    c = cut_lineage(c.withColumn("core", F.col("frames") >= -(-min_frames // 4)))
-    # a cell meets the four neighbours that follow it; the other four meet it
-    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("d")
-    a = c.select(*cam, F.struct("cx", "cy").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("core").alias("acore"), "cx", "cy", ahead)
-    a = a.select(*cam, "a", "ax", "ay", "acore", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    links = a.join(c, [*cam, "cx", "cy"]).where((F.col("acore") | F.col("core")) & (hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= cell))
-    group = linked_groups(links.select(*cam, "a", F.struct("cx", "cy").alias("b")), cam)
+    c = kept.keep(c.withColumn("core", F.col("frames") >= -(-min_frames // 4)))
+    kept.tidy()
+    # a core cell meets the eight around it; of two core cells the one that follows meets the other
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])).alias("d")
+    a = c.where("core").select(*cam, F.struct("cx", "cy").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", ahead)
+    a = a.select(*cam, "a", "ax", "ay", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    links = a.join(c, [*cam, "cx", "cy"]).where((~F.col("core") | (F.col("a") > F.struct("cx", "cy"))) & (hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= cell))
+    group = linked_groups(links.select(*cam, "a", F.struct("cx", "cy").alias("b")), cam, kept=kept)
     group = group.select(*cam, F.col("node.cx").alias("cx"), F.col("node.cy").alias("cy"), "label")
-    lone = c.select(*cam, "cx", "cy").join(group, [*cam, "cx", "cy"], "left").withColumn("label", F.coalesce("label", F.struct("cx", "cy")))
+    lone = c.select(*cam, "cx", "cy", F.col("frames").alias("most")).join(group, [*cam, "cx", "cy"], "left").withColumn("label", F.coalesce("label", F.struct("cx", "cy")))
+    # the frames of a place are at most those of its cells together, so most cells are left here
+    cells = kept.keep(lone.groupBy(*cam, "label").agg(F.count("*").alias("cells"), F.sum("most").alias("most")).where(F.col("most") >= min_frames).drop("most"))
+    lone = kept.keep(lone.drop("most").join(cells.drop("cells"), [*cam, "label"], "left_semi"), c)
+    kept.tidy()
     rows = per.join(lone, [*cam, "cx", "cy"]).groupBy(*cam, "label", "frame").agg(F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum("n").alias("n"))
     out = rows.groupBy(*cam, "label").agg(F.count("*").alias("frames"), (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"))
-    cells = lone.groupBy(*cam, "label").agg(F.count("*").alias("cells"))
     out = out.join(cells, [*cam, "label"]).where(F.col("frames") >= min_frames)
-    return out.select(*cam, "label.cx", "label.cy", "cells", "frames", "x", "y")
+    out = kept.keep(out.select(*cam, "label.cx", "label.cy", "cells", "frames", "x", "y"))
+    kept.only(out)
+    kept.tidy()
+    return out
 
 
 def penalised_top1(cands: DataFrame, clusters: DataFrame, radius: float = 30.0, cell: float = 25.0, penalty: float = 0.5) -> DataFrame:
@@ -243,9 +250,11 @@ def penalised_top1(cands: DataFrame, clusters: DataFrame, radius: float = 30.0,
     c = c.withColumns({"_cx": F.floor(F.col("_x") / cell) + F.col("_i"), "_cy": F.floor(F.col("_y") / cell) + F.col("_j")})
     t = cands.withColumns({"_cx": F.floor(F.col("pixel_x") / cell), "_cy": F.floor(F.col("pixel_y") / cell)})
     key = ["session_id", "camera", "frame", "rank"]
-    near = t.select(*key, "pixel_x", "pixel_y", "_cx", "_cy").join(c, ["session_id", "camera", "_cx", "_cy"]).where(
-        hypot(F.col("pixel_x") - F.col("_x"), F.col("pixel_y") - F.col("_y")) <= radius).select(*key, F.lit(True).alias("_near")).distinct()
-    s = t.join(near, key, "left").withColumn("score", F.col("conf") - F.when(F.col("_near"), penalty).otherwise(0.0))
+    near = F.coalesce(hypot(F.col("pixel_x") - F.col("_x"), F.col("pixel_y") - F.col("_y")) <= radius, F.lit(False)).alias("_near")
+    t = t.select(*key, "pixel_x", "pixel_y", "conf", "_cx", "_cy").join(c, ["session_id", "camera", "_cx", "_cy"], "left").select(*key, "pixel_x", "pixel_y", "conf", near)
+    # a candidate comes once for each cluster around it; both groupings are served by one shuffle by frame
+    s = t.repartition("session_id", "camera", "frame").groupBy(*key).agg(F.max_by(F.struct("pixel_x", "pixel_y", "conf"), F.struct("conf")).alias("c"), F.bool_or("_near").alias("_near"))
+    s = s.select(*key, "c.*", (F.col("c.conf") - F.when(F.col("_near"), penalty).otherwise(0.0)).alias("score"))
     pick = F.max_by(F.struct("rank", "pixel_x", "pixel_y", "score"), F.struct("score", -F.col("rank")))
     return s.groupBy("session_id", "camera", "frame").agg(pick.alias("p")).select("session_id", "camera", "frame", "p.*")
 
